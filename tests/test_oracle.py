@@ -1,0 +1,56 @@
+"""Every query against the same result in SQL, on whole tables."""
+
+import glob
+import math
+import os
+from decimal import Decimal
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry_point
+from tests.conftest import SF_DIR
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    con.execute("set timezone = 'UTC'")
+    for path in glob.glob(os.path.join(SF_DIR, "*.parquet")):
+        name = os.path.basename(path).removesuffix(".parquet")
+        con.execute(f"create view {name} as select * from read_parquet('{path}')")
+    return con
+
+
+def plain(value):
+    if isinstance(value, Decimal):
+        return str(value.normalize())
+    if isinstance(value, float) and math.isfinite(value):
+        return repr(value)
+    return str(value)
+
+
+def rows(columns, records):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(tuple(plain(r[i]) for i in order) for r in records)
+
+
+def test_every_query_has_an_oracle():
+    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+def test_query_matches_oracle(spark, duck, name):
+    df = entry_point.queries()[name](spark, SF_DIR)
+    got = rows(df.columns, [tuple(r) for r in df.collect()])
+    result = duck.execute(entry_point.oracle_sql()[name])
+    columns = [d[0] for d in result.description]
+    want = rows(columns, result.fetchall())
+    assert sorted(df.columns) == sorted(columns)
+    assert len(got) > 0
+    assert len(got) == len(want)
+    assert [p for p in zip(got, want) if p[0] != p[1]][:3] == []
+
+
+def test_entry_runs(spark):
+    assert entry_point.entry(spark).count() > 0
