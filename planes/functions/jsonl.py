@@ -20,12 +20,11 @@ _READER = {
 # The characters trimmed from both ends of a line.
 LINE_SPACE = " \t\n\x0b\x0c\r\x85\xa0"
 
-_ZERO = {T.StringType(): "", T.LongType(): 0, T.DoubleType(): 0.0, T.BooleanType(): False}
-
 
 def zero_filled(value: Column, dtype: T.DataType) -> Column:
-    """Null becomes the zero value of its type."""
-    return F.coalesce(value, F.lit(_ZERO[dtype]).cast(dtype))
+    """Null becomes the zero value of its type: empty text, false or 0."""
+    zero = "" if isinstance(dtype, T.StringType) else False if isinstance(dtype, T.BooleanType) else 0
+    return F.coalesce(value, F.lit(zero).cast(dtype))
 
 
 def _enveloped(line: Column) -> Column:
@@ -50,13 +49,17 @@ def _strings_are_strings(line: Column, names: list[str]) -> Column:
     """
     suspect = line.rlike(rf'"(?:{"|".join(names)})"\s*:\s*[^"n\s]') | line.contains("\\u")
     typed = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    kinds = F.from_json(_enveloped(line), _ddl(typed, "variant"), _READER)["d"]
-    first = F.get(kinds, F.lit(0))
-    clean = F.lit(True)
-    for name in names:
-        kind = F.coalesce(F.schema_of_variant(first[name]), F.lit("VOID"))
-        clean = clean & kind.isin("STRING", "VOID")
-    return F.when(suspect, clean).otherwise(True)
+
+    def clean(row: Column) -> Column:
+        first = F.get(row["d"], F.lit(0))
+        checks = F.lit(True)
+        for name in names:
+            kind = F.coalesce(F.schema_of_variant(first[name]), F.lit("VOID"))
+            checks &= kind.isin("STRING", "VOID")
+        return checks
+
+    kinds = F.array(F.from_json(_enveloped(line), _ddl(typed, "variant"), _READER))
+    return F.when(suspect, F.exists(kinds, clean)).otherwise(True)
 
 
 def decode_lines(
@@ -75,7 +78,9 @@ def decode_lines(
     the check that string fields hold strings.
     """
     keep = [c for c in df.columns if c != line]
-    text = F.btrim(F.col(line), F.lit(LINE_SPACE))
+    raw = F.col(line)
+    braced = raw.startswith("{") & raw.endswith("}")
+    text = F.when(braced, raw).otherwise(F.btrim(raw, F.lit(LINE_SPACE)))
     parsed = F.from_json(_enveloped(text), _ddl(schema, "string"), _READER)
 
     def sound(row: Column) -> Column:

@@ -187,10 +187,8 @@ def event_batches(
     fields: Sequence[str] = tuple(ENVELOPE.names),
 ) -> DataFrame:
     """Batches of at most ``batch_max`` envelopes per city, in seq order."""
-    numbered = number_rows(envelopes, ["city"], ["seq"], out="_no")
-    batches = assemble_batches(
-        numbered, "city", "_no", fields, batch_max=batch_max, out="events"
-    )
+    numbered = number_rows(envelopes, ["city"], ["seq"])
+    batches = assemble_batches(numbered, "city", fields, batch_max=batch_max, out="events")
     return batches.withColumn("schema_version", F.lit(EVENT_SCHEMA_VERSION))
 
 

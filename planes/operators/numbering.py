@@ -11,15 +11,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Rows per chunk where the order column is a dense integer such as a line number.
-CHUNK_SPAN = 1 << 20
+# Rows per chunk, as a power of two, where the order column is a dense integer such as a
+# line number.
+CHUNK_BITS = 20
 
 _BASE, _CHUNK, _STOP = "_base", "_chunk", "_stop"
 
 
-def with_span_chunk(df: DataFrame, order: str, span: int = CHUNK_SPAN) -> DataFrame:
+def with_span_chunk(df: DataFrame, order: str, bits: int = CHUNK_BITS) -> DataFrame:
     """Add the chunk column for an integer order that is unique within its key."""
-    return df.withColumn(_CHUNK, F.floor(F.col(order) / span))
+    return df.withColumn(_CHUNK, F.shiftright(F.col(order).cast("long"), bits))
 
 
 def number_rows(
@@ -28,17 +29,18 @@ def number_rows(
     order: Sequence[str],
     *,
     chunk: Sequence[str] | None = None,
-    first: Column | None = None,
+    starts: DataFrame | None = None,
     limit: int | None = None,
-    out: str = "seq",
 ) -> DataFrame:
-    """Number rows 1, 2, 3, ... within ``keys`` by ``order``, with no gaps.
+    """Number rows within ``keys`` by ``order``, with no gaps.
+
+    Adds ``ordinal``, which counts 1, 2, 3, ..., and, where the rows have none, ``seq``,
+    which counts on from the key's ``first`` in ``starts`` (from 1 for keys without one).
 
     ``chunk`` names columns that cut a key's order into bounded, consecutive pieces and
     sort like it; without them the first order column must be an integer and is cut into
-    spans. ``first`` is a column of ``df``, constant within a key, holding the number of
-    its first row. With ``limit`` only each key's first ``limit`` rows are kept, and chunks
-    beyond it are dropped before any row is shuffled or sorted.
+    spans. With ``limit`` only each key's first ``limit`` rows are kept, and chunks beyond
+    it are dropped before any row is shuffled or sorted.
     """
     spans = chunk is None
     if spans:
@@ -47,40 +49,42 @@ def number_rows(
 
     sizes = df.groupBy(*keys, *chunk).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(*keys, *chunk, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(_BASE))
+    bases = sizes.withColumn(_BASE, F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
     if limit is not None:
         bases = bases.filter(F.col(_BASE) < limit)
+    # The start joins the chunk sizes, not the rows.
+    if starts is None:
+        bases = bases.withColumn("_first", F.lit(1).cast("long"))
+    else:
+        known = starts.select(*keys, F.greatest("first", F.lit(1)).cast("long").alias("_first"))
+        bases = bases.join(known, keys, "left").withColumn("_first", F.coalesce("_first", F.lit(1)))
 
     inside = Window.partitionBy(*keys, *chunk).orderBy(*order)
-    position = F.col(_BASE) + F.row_number().over(inside)
-    numbered = df.join(bases, [*keys, *chunk]).withColumn(out, position.cast("long"))
+    ordinal = F.col(_BASE) + F.row_number().over(inside)
+    numbered = df.join(bases, [*keys, *chunk]).withColumn("ordinal", ordinal.cast("long"))
     if limit is not None:
-        numbered = numbered.filter(F.col(out) <= limit)
-    if first is not None:
-        numbered = numbered.withColumn(out, F.col(out) + first - 1)
-    return numbered.drop(_BASE, *([_CHUNK] if spans else []))
+        numbered = numbered.filter(F.col("ordinal") <= limit)
+    if "seq" not in df.columns:
+        numbered = numbered.withColumn("seq", F.col("ordinal") + F.col("_first") - 1)
+    return numbered.drop(_BASE, "_first", *([_CHUNK] if spans else []))
 
 
 def assemble_batches(
     df: DataFrame,
     key: str,
-    number: str,
     fields: Sequence[str],
     *,
     batch_max: int,
     out: str,
-    first: Column | None = None,
 ) -> DataFrame:
     """One row per batch: ``key``, ``batch_no`` from 0, seq range, ordered array ``out``.
 
-    ``number`` is dense within ``key`` and starts at ``first`` (1 unless given), so each
-    batch but a key's last holds exactly ``batch_max`` rows. Arrays sort by the
-    first of ``fields``, the row's seq.
+    ``ordinal`` is dense within ``key``, so each batch but a key's last holds exactly
+    ``batch_max`` rows. Arrays sort by the first of ``fields``, the row's seq.
     """
-    start = F.lit(1) if first is None else first
     batched = df.select(
         key,
-        F.floor((F.col(number) - start) / batch_max).alias("batch_no"),
+        F.floor((F.col("ordinal") - 1) / batch_max).alias("batch_no"),
         F.struct(*fields).alias("_item"),
     )
     items = F.array_sort(F.collect_list("_item"))

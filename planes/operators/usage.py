@@ -39,17 +39,13 @@ def number_facts(
     chunk: Sequence[str] | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """Assign each source's facts their seq, going on from ``cursors.next_seq``."""
-    if cursors is None:
-        return number_rows(facts, ["source_id"], order, chunk=chunk, limit=limit)
-    known = cursors.select("source_id", F.greatest("next_seq", F.lit(1)).alias("_first"))
-    resumed = facts.join(known, "source_id", "left").withColumn(
-        "_first", F.coalesce("_first", F.lit(1))
-    )
-    numbered = number_rows(
-        resumed, ["source_id"], order, chunk=chunk, limit=limit, first=F.col("_first")
-    )
-    return numbered.drop("_first")
+    """Assign each source's facts their seq, going on from ``cursors.next_seq``.
+
+    Seqs depend only on the order of the lines and the cursor, so a replay from the same
+    cursor assigns the same ones.
+    """
+    starts = None if cursors is None else cursors.select("source_id", F.col("next_seq").alias("first"))
+    return number_rows(facts, ["source_id"], order, chunk=chunk, starts=starts, limit=limit)
 
 
 def after_cursor(facts: DataFrame, cursors: DataFrame, position: str) -> DataFrame:
@@ -64,17 +60,9 @@ def usage_batches(
     *,
     batch_max: int = BATCH_MAX,
     fields: Sequence[str] = tuple(USAGE_FACT.names),
-    cursors: DataFrame | None = None,
 ) -> DataFrame:
     """Batches of at most ``batch_max`` facts per source, in seq order."""
-    first = None
-    if cursors is not None:
-        known = cursors.select("source_id", F.greatest("next_seq", F.lit(1)).alias("_first"))
-        numbered = numbered.join(known, "source_id", "left")
-        first = F.coalesce("_first", F.lit(1))
-    batches = assemble_batches(
-        numbered, "source_id", "seq", fields, batch_max=batch_max, out="facts", first=first
-    )
+    batches = assemble_batches(numbered, "source_id", fields, batch_max=batch_max, out="facts")
     return batches.withColumn("schema_version", F.lit(USAGE_SCHEMA_VERSION))
 
 

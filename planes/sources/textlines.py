@@ -10,6 +10,8 @@ SPLIT_PINS = (
     "spark.default.parallelism",
 )
 
+LINE_METADATA = ["_metadata.file_path", "_metadata.file_size", "_metadata.file_block_start as block_start"]
+
 
 def pin_splits(spark: SparkSession) -> None:
     """Make file splits independent of how many executors are alive.
@@ -27,15 +29,21 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     Within a file lines are ordered by (block_start, line_id). Only "\\n" ends a line.
     """
     pin_splits(spark)
-    return spark.read.text(paths, lineSep="\n").select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_size").alias("file_size"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("line_id"),
-        F.col("value").alias("line"),
+    return spark.read.text(paths, lineSep="\n").selectExpr(
+        *LINE_METADATA, "monotonically_increasing_id() as line_id", "value as line"
     )
 
 
+def stream_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """Lines of finished files as they appear; ``with_line_id`` orders a micro-batch."""
+    reader = spark.readStream.option("lineSep", "\n").options(**options)
+    return reader.text(path).selectExpr(*LINE_METADATA, "value as line")
+
+
+def with_line_id(micro_batch: DataFrame) -> DataFrame:
+    return micro_batch.withColumn("line_id", F.monotonically_increasing_id())
+
+
 def complete_lines(lines: DataFrame) -> DataFrame:
     """Drop each file's last line where no newline ends it yet.
 
@@ -52,3 +60,15 @@ def complete_lines(lines: DataFrame) -> DataFrame:
         "file_path", "_last.block_start", "_last.line_id"
     )
     return lines.join(open_ends, ["file_path", "block_start", "line_id"], "left_anti")
+
+
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths, globs included, that match at least one file."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+
+    def matches(path: str) -> bool:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        found = where.getFileSystem(conf).globStatus(where)
+        return found is not None and len(found) > 0
+
+    return [p for p in paths if matches(p)]
