@@ -86,11 +86,9 @@ def strict_shape(provider: Column, root: Column, path: Column) -> Column:
 def listed(files: DataFrame) -> DataFrame:
     """Files that pass every check of name and place, with their provider.
 
-    Reads only names and paths, never content. ``files`` may carry ``is_symlink``.
+    Reads only names and paths, never content.
     """
     base = base_name(F.col("path"))
-    if "is_symlink" in files.columns:
-        files = files.filter(~F.col("is_symlink"))
     passed = files.filter(
         ~denied(base) & is_transcript(base) & contained(F.col("root"), F.col("path"))
     )
@@ -120,10 +118,15 @@ def candidates(files: DataFrame, *, strict: bool = False) -> DataFrame:
 
 
 def dedupe_paths(files: DataFrame, rank: str = "root_no") -> DataFrame:
-    """One row per path, under the first of the overlapping roots that list it."""
+    """One row per path, under the first of the overlapping roots that list it.
+
+    Of several listings of a file under one root the newest counts. Takes listings, not
+    content: whole rows go through the aggregate.
+    """
     # An aggregate, so that copies of a path are reduced before the shuffle.
     rest = [c for c in files.columns if c not in ("path", rank)]
-    first = F.min_by(F.struct(rank, *rest), F.col(rank))
+    newest = [-F.col("mtime_ms")] if "mtime_ms" in files.columns else []
+    first = F.min_by(F.struct(rank, *rest), F.struct(rank, *newest))
     return files.groupBy("path").agg(first.alias("_f")).select("path", "_f.*")
 
 

@@ -38,11 +38,12 @@ class RecallPass:
         """Write and return the epoch's decisions; those to send carry their content.
 
         Names and places are checked first, then time and size against the state. Only
-        files that pass both are opened, once.
+        files that pass both are opened, once. Planning an epoch again gives the same.
         """
-        state = self.state.read()
-        if "root_no" in listing.columns:
-            listing = recall.dedupe_paths(listing)
+        state = self.state.read(before=epoch)
+        if "root_no" not in listing.columns:
+            listing = listing.withColumn("root_no", F.lit(0))
+        listing = recall.dedupe_paths(listing)
         to_read = recall.needs_read(
             recall.candidates(listing, strict=self.strict), state, self.max_bytes
         )
@@ -84,5 +85,5 @@ class RecallPass:
         settled = recall.settle(decided, receipts)
         stats = recall.scan_stats(settled, [])
         if any(stats.first()):
-            self.state.write(recall.next_state(self.state.read(), settled))
+            self.state.write(recall.next_state(self.state.read(before=epoch), settled), epoch)
         return stats

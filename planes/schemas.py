@@ -31,6 +31,12 @@ EVENT_LINE = _struct(
 )
 EVENT_LINE_WITH_PAYLOAD = T.StructType([*EVENT_LINE.fields, T.StructField("payload", S)])
 
+# A listing of transcript files, for instance made by the hosts that hold them.
+LISTING = _struct(
+    ("source_id", S), ("root_no", T.IntegerType()), ("root", S), ("path", S), ("size", L),
+    ("mtime_ms", L), ("is_symlink", B),
+)
+
 # The redacted envelope.
 ENVELOPE = _struct(
     ("seq", L), ("type", S), ("ts", T.TimestampType()), ("actor_hash", S), ("ref", S),

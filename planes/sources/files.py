@@ -48,7 +48,7 @@ def from_manifest(manifest: DataFrame) -> DataFrame:
     directory walk runs on the driver.
     """
     if "is_symlink" in manifest.columns:
-        manifest = manifest.filter(~F.col("is_symlink"))
+        manifest = manifest.filter(~F.coalesce("is_symlink", F.lit(False))).drop("is_symlink")
     return manifest
 
 

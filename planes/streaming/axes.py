@@ -11,11 +11,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
-from planes.operators import consumer, events, usage
+from planes.operators import consumer, events, recall, usage
 from planes.operators.events import Redaction, TypePolicy
-from planes.schemas import EVENT_CURSOR, HIGH_WATER, USAGE_CURSOR
+from planes.plans.recall_pass import RecallPass
+from planes.schemas import EVENT_CURSOR, HIGH_WATER, LISTING, USAGE_CURSOR
+from planes.sources.files import from_manifest
 from planes.sources.ledger import LEDGER_CHUNK, LEDGER_ORDER
 from planes.sources.outbox import write_outbox
 from planes.sources.sse import frames
@@ -58,9 +60,9 @@ def cadence(seconds: float | None, default: int, floor: int) -> dict:
 def _start(
     stream: DataFrame, folders: Folders, name: str, step: Callable[[DataFrame, int], None], trigger: dict
 ) -> StreamingQuery:
-    writer: DataStreamWriter = stream.writeStream.queryName(name).option(
-        "checkpointLocation", folders.checkpoint
-    )
+    # Names of running queries must differ, also between two fleets.
+    writer = stream.writeStream.queryName(f"{name} {folders.root}")
+    writer = writer.option("checkpointLocation", folders.checkpoint)
     return writer.foreachBatch(step).trigger(**trigger).start()
 
 
@@ -170,6 +172,36 @@ def start_events(
     return _start(lines, folders, "events", step, trigger)
 
 
+def start_recall(
+    spark: SparkSession,
+    manifests: str,
+    folders: Folders,
+    *,
+    strict: bool = False,
+    max_bytes: int = recall.MAX_BYTES,
+    seconds: float | None = None,
+    once: bool = False,
+    deliver: Callable[[DataFrame], DataFrame] | None = None,
+    options: dict[str, str] | None = None,
+) -> StreamingQuery:
+    """Listings, as they arrive in folder ``manifests``, to snapshots in the outbox.
+
+    ``deliver`` takes an epoch's snapshots and returns their receipts (path, http_status),
+    which are settled before the epoch is committed. Without it the outbox is left for
+    ``RecallPass.settle``.
+    """
+    plane = RecallPass(spark, folders.root, strict, max_bytes)
+    listings = spark.readStream.schema(LISTING).options(**(options or {})).parquet(manifests)
+
+    def step(micro_batch: DataFrame, epoch: int) -> None:
+        outbox = plane.plan(from_manifest(micro_batch), epoch)
+        if deliver is not None:
+            plane.settle(epoch, deliver(outbox.filter(F.col("action") == "send")))
+
+    trigger = {"availableNow": True} if once else cadence(seconds, RECALL_SECONDS, RECALL_FLOOR)
+    return _start(listings, folders, "recall", step, trigger)
+
+
 def start_ingest(
     spark: SparkSession,
     outbox: str,

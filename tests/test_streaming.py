@@ -1,0 +1,246 @@
+"""Streaming axes: incremental, restartable, idempotent, isolated."""
+
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F, types as T
+
+from planes.operators.events import Redaction, TypePolicy
+from planes.schemas import EVENT_CURSOR, HIGH_WATER, LISTING, SNAPSHOT_STATE, USAGE_CURSOR
+from planes.sources.outbox import read_outbox, read_receipts
+from planes.sources.state import StateTable
+from planes.streaming.axes import (
+    Folders,
+    cadence,
+    restart_failed,
+    start_all,
+    start_events,
+    start_ingest,
+    start_recall,
+    start_usage,
+)
+from tests.test_usage import fact, write
+
+
+def finish(query):
+    query.awaitTermination(120)
+    assert not query.isActive
+    return query
+
+
+def sent(spark, folders):
+    rows = read_outbox(spark, folders.outbox, ["source_id", "first_seq"])
+    return sorted(
+        (r.source_id, f.seq, f.run_id) for r in rows.collect() for f in r.facts
+    )
+
+
+def cursor(spark, folders):
+    state = StateTable(spark, folders.state, USAGE_CURSOR).read()
+    return {r.source_id: r.next_seq for r in state.collect()}
+
+
+def test_sealed_segments_go_on_numbering_after_a_restart(spark, tmp_path):
+    folders = Folders(str(tmp_path / "w"))
+    pattern = f"{tmp_path}/ledgers/*/"
+    go = lambda: finish(start_usage(spark, pattern, folders, batch_max=2, once=True))
+    write(f"{tmp_path}/ledgers/a/0.jsonl", fact("r1") + "junk\n" + fact("r2") + fact("r3"))
+    write(f"{tmp_path}/ledgers/b/0.jsonl", fact("x1"))
+    go()
+    first = [("a", 1, "r1"), ("a", 2, "r2"), ("a", 3, "r3"), ("b", 1, "x1")]
+    assert sent(spark, folders) == first
+    go()
+    assert sent(spark, folders) == first
+    write(f"{tmp_path}/ledgers/a/1.jsonl", fact("r4"))
+    write(f"{tmp_path}/ledgers/c/0.jsonl", '{"kind":"compute"}\n')
+    go()
+    assert sent(spark, folders) == sorted([*first, ("a", 4, "r4")])
+    assert cursor(spark, folders) == {"a": 5, "b": 2}
+    sizes = read_outbox(spark, folders.outbox, ["source_id", "first_seq"]).agg(F.max("n")).first()[0]
+    assert sizes == 2
+
+
+def test_refused_epoch_is_replayed_with_the_same_seqs(spark, tmp_path):
+    folders = Folders(str(tmp_path / "w"))
+    write(f"{tmp_path}/ledgers/a/0.jsonl", fact("r1") + fact("r2"))
+    tried = []
+
+    def refuse(batches):
+        tried.append([f.seq for r in batches.collect() for f in r.facts])
+        raise RuntimeError("not accepted")
+
+    def accept(batches):
+        tried.append([f.seq for r in batches.collect() for f in r.facts])
+
+    with pytest.raises(Exception, match="not accepted"):
+        finish(start_usage(spark, f"{tmp_path}/ledgers/*/", folders, once=True, deliver=refuse))
+    assert cursor(spark, folders) == {}
+    write(f"{tmp_path}/ledgers/a/1.jsonl", fact("r3"))
+    finish(start_usage(spark, f"{tmp_path}/ledgers/*/", folders, once=True, deliver=accept))
+    assert tried[0] == tried[1] == [1, 2]
+    assert sent(spark, folders) == [("a", 1, "r1"), ("a", 2, "r2"), ("a", 3, "r3")]
+
+
+def test_growing_ledger_is_tailed_across_restarts_and_rotation(spark, tmp_path):
+    folders = Folders(str(tmp_path / "w"))
+    path = write(f"{tmp_path}/fleet/a/usage.jsonl", fact("r1") + fact("r2")[:20])
+    write(f"{tmp_path}/fleet/b/usage.jsonl", fact("x1") + fact("x2"))
+
+    def go():
+        finish(start_usage(
+            spark, f"{tmp_path}/fleet/*/usage.jsonl", folders, growing=True, once=True,
+            options={"rangeBytes": "100"},
+        ))
+
+    go()
+    assert sent(spark, folders) == [("a", 1, "r1"), ("b", 1, "x1"), ("b", 2, "x2")]
+    write(path, fact("r2")[20:] + "junk\n\n" + fact("r3"), "a")
+    go()
+    go()
+    assert sent(spark, folders)[:3] == [("a", 1, "r1"), ("a", 2, "r2"), ("a", 3, "r3")]
+    # Replaced by a larger file, then by a shorter one: read from the top, seqs go on.
+    os.rename(path, path + ".1")
+    write(path, "".join(fact(f"n{i}") for i in range(9)))
+    go()
+    write(path, fact("t1"))
+    go()
+    runs = [run for source, _, run in sent(spark, folders) if source == "a"]
+    assert runs == ["r1", "r2", "r3", *[f"n{i}" for i in range(9)], "t1"]
+    assert cursor(spark, folders) == {"a": 14, "b": 3}
+
+
+def capture(events):
+    return "".join(f"id: {e['seq']}\ndata: {json.dumps(e)}\n\n" for e in events)
+
+
+def test_captures_become_redacted_batches_once(spark, tmp_path):
+    folders = Folders(str(tmp_path / "w"))
+    policy = TypePolicy.from_mapping({"bead.closed": (True, True)})
+    redaction = Redaction(salt="0123456789abcdef", export_ref=True)
+    make = lambda seq, kind="bead.closed": {
+        "seq": seq, "type": kind, "ts": "2026-06-21T10:00:00Z", "actor": "alice@x", "subject": "mc-1",
+        "message": "secret", "payload": {"bead": {"title": "T"}}}
+    go = lambda: finish(
+        start_events(spark, f"{tmp_path}/sse/*/", folders, policy, redaction, once=True))
+    write(f"{tmp_path}/sse/c1/0.sse", ": hi\n\n" + capture([make(1), make(2, "bead.updated"), make(3)]))
+    go()
+    # The next capture overlaps the first and ends in a dropped event.
+    write(f"{tmp_path}/sse/c1/1.sse", capture([make(3), make(4), make(5, "bead.updated")]))
+    write(f"{tmp_path}/sse/c2/0.sse", capture([make(7)]))
+    go()
+    rows = read_outbox(spark, folders.outbox, ["city", "first_seq"])
+    got = sorted((r.city, e.seq) for r in rows.collect() for e in r.events)
+    assert got == [("c1", 1), ("c1", 3), ("c1", 4), ("c2", 7)]
+    wire = "".join(rows.toJSON().collect())
+    assert "alice" not in wire and "secret" not in wire and '"title":"T"' not in wire
+    state = StateTable(spark, folders.state, EVENT_CURSOR).read()
+    assert sorted(map(tuple, state.collect())) == [("c1", 5), ("c2", 7)]
+
+
+def test_ingest_takes_each_fact_once(spark, tmp_path):
+    usage_folders, folders = Folders(str(tmp_path / "u")), Folders(str(tmp_path / "i"))
+    write(f"{tmp_path}/ledgers/a/0.jsonl", fact("r1") + fact("r2"))
+    finish(start_usage(spark, f"{tmp_path}/ledgers/*/", usage_folders, once=True))
+    finish(start_ingest(spark, usage_folders.outbox, folders, once=True))
+    # Deliver everything again along with something new.
+    again = spark.read.parquet(f"{usage_folders.outbox}/epoch=0000000000")
+    again.write.parquet(f"{usage_folders.outbox}/epoch=0000000007")
+    write(f"{tmp_path}/ledgers/a/1.jsonl", fact("r3"))
+    finish(start_usage(spark, f"{tmp_path}/ledgers/*/", usage_folders, once=True))
+    finish(start_ingest(spark, usage_folders.outbox, folders, once=True))
+    spend = spark.read.parquet(folders.outbox)
+    assert sorted((r.seq, r.run_id, r.source) for r in spend.collect()) == [
+        (1, "r1", "estimated"), (2, "r2", "estimated"), (3, "r3", "estimated")]
+    marks = StateTable(spark, folders.state, HIGH_WATER).read()
+    assert [tuple(r) for r in marks.collect()] == [("a", 3)]
+
+
+def test_receipts_keep_the_best_status(spark, tmp_path):
+    schema = T.StructType([USAGE_CURSOR["source_id"], T.StructField("first_seq", T.LongType())])
+    assert read_receipts(spark, f"{tmp_path}/none", schema).count() == 0
+    write(f"{tmp_path}/r/0.json", "".join(json.dumps(r) + "\n" for r in [
+        {"source_id": "a", "first_seq": 1, "http_status": None},
+        {"source_id": "a", "first_seq": 1, "http_status": 503},
+        {"source_id": "a", "first_seq": 1, "http_status": 204},
+        {"source_id": "a", "first_seq": 3, "http_status": None},
+    ]))
+    got = read_receipts(spark, f"{tmp_path}/r", schema)
+    assert sorted(map(tuple, got.collect())) == [("a", 1, 204), ("a", 3, None)]
+
+
+def test_manifests_become_snapshots_and_receipts_state(spark, tmp_path):
+    folders = Folders(str(tmp_path / "w"))
+    root = f"{tmp_path}/h/.claude/projects"
+    paths = [write(f"{root}/p/{n}.jsonl", f'{{"n":"{n}"}}\n') for n in ("a", "b", "linked")]
+    delivered = []
+
+    def manifest():
+        rows = [("s", 0, root, p, os.path.getsize(p), os.stat(p).st_mtime_ns // 1_000_000, p == paths[2])
+                for p in paths]
+        spark.createDataFrame(rows, LISTING).write.mode("append").parquet(f"{tmp_path}/manifests")
+
+    def deliver(snapshots):
+        rows = [(r.path, 201 if r.path == paths[0] else 503) for r in snapshots.collect()]
+        delivered.append(sorted(os.path.basename(p) for p, _ in rows))
+        return spark.createDataFrame(rows, "path string, http_status int")
+
+    def go():
+        finish(start_recall(spark, f"{tmp_path}/manifests", folders, once=True, deliver=deliver))
+
+    spark.createDataFrame([], LISTING).write.parquet(f"{tmp_path}/manifests")
+    for _ in range(2):
+        manifest()
+        go()
+    assert delivered[-2:] == [["a.jsonl", "b.jsonl"], ["b.jsonl"]]
+    state = StateTable(spark, folders.state, SNAPSHOT_STATE).read()
+    assert [(r.path, r.status) for r in state.collect()] == [(paths[0], "sent")]
+
+
+def test_one_failing_axis_leaves_the_others_running(spark, tmp_path):
+    write(f"{tmp_path}/ledgers/a/0.jsonl", fact("r1"))
+    good, bad = Folders(str(tmp_path / "g")), Folders(str(tmp_path / "b"))
+    broken = {"on": True}
+
+    def deliver(_):
+        if broken["on"]:
+            raise RuntimeError("boom")
+
+    def cannot_start():
+        raise ValueError("misconfigured")
+
+    starters = {
+        "good": lambda: start_usage(spark, f"{tmp_path}/ledgers/*/", good, seconds=1),
+        "bad": lambda: start_usage(spark, f"{tmp_path}/ledgers/*/", bad, seconds=1, deliver=deliver),
+        "never": cannot_start,
+    }
+    running = start_all(starters)
+    try:
+        assert isinstance(running["never"], ValueError)
+        with pytest.raises(Exception, match="boom"):
+            running["bad"].awaitTermination(60)
+        running["good"].processAllAvailable()
+        assert running["good"].isActive and sent(spark, good) == [("a", 1, "r1")]
+        broken["on"] = False
+        again = restart_failed(running, starters)
+        assert again["good"] is running["good"]
+        again["bad"].processAllAvailable()
+        assert sent(spark, bad) == [("a", 1, "r1")]
+        running = again
+    finally:
+        for query in running.values():
+            if not isinstance(query, Exception):
+                query.stop()
+
+
+def test_cadence_has_a_floor_and_backpressure_limits_are_taken(spark, tmp_path):
+    assert cadence(None, 5, 1) == {"processingTime": "5 seconds"}
+    assert cadence(0.1, 5, 1) == {"processingTime": "1 seconds"}
+    assert cadence(90, 60, 5) == {"processingTime": "90 seconds"}
+    folders = Folders(str(tmp_path / "w"))
+    for i in range(3):
+        write(f"{tmp_path}/ledgers/a/{i}.jsonl", fact(f"r{i}"))
+    finish(start_usage(spark, f"{tmp_path}/ledgers/*/", folders, once=True,
+                       options={"maxFilesPerTrigger": "1"}))
+    assert [seq for _, seq, _ in sent(spark, folders)] == [1, 2, 3]
+    assert len(StateTable(spark, folders.state, USAGE_CURSOR).versions()) == 3
