@@ -78,10 +78,11 @@ def decode_lines(
     the check that string fields hold strings.
     """
     keep = [c for c in df.columns if c != line]
-    raw = F.col(line)
-    braced = raw.startswith("{") & raw.endswith("}")
-    text = F.when(braced, raw).otherwise(F.btrim(raw, F.lit(LINE_SPACE)))
-    parsed = F.from_json(_enveloped(text), _ddl(schema, "string"), _READER)
+    names = [f.name for f in schema.fields if f.dataType == T.StringType() and f.name not in raw_json]
+
+    def trimmed(text: Column) -> Column:
+        braced = text.startswith("{") & text.endswith("}")
+        return F.when(braced, text).otherwise(F.btrim(text, F.lit(LINE_SPACE)))
 
     def sound(row: Column) -> Column:
         first = F.get(row["d"], F.lit(0))
@@ -93,12 +94,14 @@ def decode_lines(
             checks &= F.coalesce(first[name] >= 0, F.lit(True))
         return checks
 
-    names = [f.name for f in schema.fields if f.dataType == T.StringType() and f.name not in raw_json]
+    # The steps work on an array of one line that ends up with one row or none, and the
+    # row is generated from it. So each line is computed and parsed once; as filters they
+    # would be pushed below the projection and repeat both.
+    found = F.transform(F.array(line), trimmed)
     if strict:
-        df = df.filter(_strings_are_strings(text, names))
-    # Generating zero or one row per line parses each line once: a filter on the parsed
-    # column would be pushed below the projection and parse it again.
-    rows = df.select(*keep, F.explode(F.filter(F.array(parsed), sound)).alias("_row"))
+        found = F.filter(found, lambda text: _strings_are_strings(text, names))
+    found = F.transform(found, lambda text: F.from_json(_enveloped(text), _ddl(schema, "string"), _READER))
+    rows = df.select(*keep, F.explode(F.filter(found, sound)).alias("_row"))
     rows = rows.select(*keep, F.get("_row.d", F.lit(0)).alias("_row"))
     return rows.select(
         *keep, *[zero_filled(F.col("_row")[f.name], f.dataType).alias(f.name) for f in schema.fields]

@@ -118,35 +118,35 @@ def lift_content(events: DataFrame) -> DataFrame:
     is not a string, gives empties. A payload that is itself JSON text inside a string is
     read as that JSON.
     """
-    payload = F.from_json("payload", _PAYLOAD, {"columnNameOfCorruptRecord": "_bad"})
-    parsed = events.withColumn("_payload", payload)
-    bead, meta = F.col("_payload.bead"), F.col("_payload.bead.metadata")
 
     def is_text(v: Column) -> Column:
         return F.coalesce(F.schema_of_variant(v), F.lit("VOID")).isin("STRING", "VOID")
 
-    sound = (
-        F.col("_payload._bad").isNull()
-        & is_text(bead["title"])
-        & F.coalesce(F.forall(F.map_values(meta), is_text), F.lit(True))
-    )
+    def lifted(parsed: Column) -> Column:
+        title, meta = parsed["bead"]["title"], parsed["bead"]["metadata"]
+        sound = (
+            parsed["_bad"].isNull()
+            & is_text(title)
+            & F.coalesce(F.forall(F.map_values(meta), is_text), F.lit(True))
+        )
 
-    def text(v: Column) -> Column:
-        return zero_filled(F.when(sound, F.try_variant_get(v, "$", "string")), S)
+        def text(v: Column) -> Column:
+            return zero_filled(F.when(sound, F.try_variant_get(v, "$", "string")), S)
 
-    lifted = parsed.select(
-        *[c for c in events.columns],
-        text(bead["title"]).alias("title"),
-        text(meta[META_FORMULA]).alias("_formula"),
-        text(meta[META_STEP_REF]).alias("_step_ref"),
-        text(meta[META_RUN]).alias("_run"),
-        text(meta[META_STEP]).alias("_step"),
-    )
-    return lifted.withColumns({
-        "formula": formula_choice(F.col("_formula"), F.col("_step_ref")),
+        return F.struct(
+            text(title).alias("title"),
+            formula_choice(text(meta[META_FORMULA]), text(meta[META_STEP_REF])).alias("formula"),
+            text(meta[META_RUN]).alias("_run"),
+            text(meta[META_STEP]).alias("_step"),
+        )
+
+    # Generated from an array of one, so that each payload is parsed once.
+    parsed = F.array(F.from_json("payload", _PAYLOAD, {"columnNameOfCorruptRecord": "_bad"}))
+    rows = events.select("*", F.inline(F.transform(parsed, lifted)))
+    return rows.withColumns({
         "run_id": first_filled(F.col("run_id"), F.col("_run")),
         "step_id": first_filled(F.col("step_id"), F.col("_step")),
-    }).drop("_formula", "_step_ref", "_run", "_step")
+    }).drop("_run", "_step")
 
 
 def formula_choice(name: Column, step_ref: Column) -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # Rows per chunk, as a power of two, where the order column is a dense integer such as a
 # line number.
 CHUNK_BITS = 20
+# The same for byte offsets, at a few hundred bytes per row.
+BYTE_CHUNK_BITS = 26
 
 _BASE, _CHUNK, _STOP = "_base", "_chunk", "_stop"
 

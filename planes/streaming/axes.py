@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from planes.operators import consumer, events, recall, usage
 from planes.operators.events import Redaction, TypePolicy
+from planes.operators.numbering import BYTE_CHUNK_BITS
 from planes.plans.recall_pass import RecallPass
 from planes.schemas import EVENT_CURSOR, HIGH_WATER, LISTING, USAGE_CURSOR
 from planes.sources.files import from_manifest
@@ -100,7 +101,7 @@ def start_usage(
         if growing:
             order = ["path", "offset"]
             chunk = ["path", "_block"]
-            rows = micro_batch.withColumn("_block", F.shiftright("offset", 26))
+            rows = micro_batch.withColumn("_block", F.shiftright("offset", BYTE_CHUNK_BITS))
         else:
             order, chunk = LEDGER_ORDER, LEDGER_CHUNK
             rows = with_line_id(micro_batch).filter(F.octet_length("line") < usage.READ_WINDOW)

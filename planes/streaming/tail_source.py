@@ -16,11 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-# Bytes per range and thus per task, and the bytes a line must stay below.
-RANGE_BYTES = 8 << 20
-# Step in which the start of a line is looked for before its range.
-BACK_BYTES = 1 << 16
-
+from planes.sources.ranges import RANGE_BYTES, line_batch
 
 class ByteRange(InputPartition):
     def __init__(self, path: str, file_id: int, start: int, end: int):
@@ -79,36 +75,8 @@ class TailReader(DataSourceStreamReader):
         # A file replaced since the range was planned took its unread bytes with it.
         if not os.path.exists(path) or os.stat(path).st_ino != partition.file_id:
             return
-        lines = list(lines_ending_in(path, partition.start, partition.end, self.max_line))
-        yield pa.RecordBatch.from_pydict({
-            "source_id": pa.array([found.group(1) if found else ""] * len(lines), pa.string()),
-            "path": pa.array([path] * len(lines), pa.string()),
-            "offset": pa.array([offset for offset, _ in lines], pa.int64()),
-            "line": pa.array([line.decode("utf-8", "replace") for _, line in lines], pa.string()),
-        })
-
-
-def lines_ending_in(path: str, start: int, end: int, max_line: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, line) of each line whose newline lies in the byte range.
-
-    A line that began before the range is read from its start; bytes after the last
-    newline belong to a later range. Lines of ``max_line`` bytes or more are skipped.
-    """
-    with open(path, "rb") as file:
-        data, back = b"", start
-        while back > 0 and start - back < max_line and b"\n" not in data[:BACK_BYTES]:
-            back = max(0, back - BACK_BYTES)
-            file.seek(back)
-            data = file.read(start - back)
-        file.seek(start)
-        inside = len(data)
-        data += file.read(end - start)
-    cut = data.rfind(b"\n", 0, inside) + 1
-    too_long = cut == 0 and back > 0
-    while (stop := data.find(b"\n", max(cut, inside))) >= 0:
-        if not too_long and stop - cut < max_line:
-            yield back + cut, data[cut:stop]
-        cut, too_long = stop + 1, False
+        source_id = found.group(1) if found else ""
+        yield line_batch(source_id, path, partition.start, partition.end, self.max_line)
 
 
 class TailSource(DataSource):
@@ -119,7 +87,7 @@ class TailSource(DataSource):
         return "planes_tail"
 
     def schema(self) -> str:
-        return "source_id string, path string, offset long, line string"
+        return "source_id string, path string, offset long, line_end long, line string"
 
     def streamReader(self, schema) -> TailReader:
         return TailReader(self.options)

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from planes.operators import usage
 from planes.operators.numbering import number_rows
+from planes.plans.usage_pass import UsagePass
 from planes.sources.ledger import LEDGER_CHUNK, LEDGER_ORDER, read_ledgers
-from planes.streaming.tail_source import first_unread, lines_ending_in
+from planes.sources.ranges import lines_ending_in, read_ranges
+from planes.streaming.tail_source import first_unread
 
 BY_PARENT = r"([^/]+)/[^/]*$"
 
@@ -222,6 +224,53 @@ def test_ranges_cover_each_line_once_wherever_they_are_cut(tmp_path):
         assert got == want
 
 
+def test_ranges_of_many_files_are_read_by_place(spark, tmp_path):
+    a = write(f"{tmp_path}/a/usage.jsonl", "one\ntwo\n\nthree\nfour")
+    rows = [("a", a, 4, 18), ("gone", f"{tmp_path}/none", 0, 9), ("done", a, 18, 18)]
+    df = spark.createDataFrame(rows, "source_id string, path string, read_from long, read_to long")
+    for span in (1, 5, 100):
+        got = sorted((r.offset, r.line_end, r.line) for r in read_ranges(df, span=span).collect())
+        assert got == [(4, 8, "two"), (8, 9, ""), (9, 15, "three")]
+
+
+def test_passes_read_only_new_bytes_and_hold_what_is_not_confirmed(spark, tmp_path):
+    plane = UsagePass(spark, str(tmp_path / "w"), batch_max=2, max_batches=2)
+    path = write(f"{tmp_path}/a/usage.jsonl", "".join(fact(f"r{i}") for i in range(5)) + "junk\n" + fact("r5")[:9])
+
+    def plan(epoch):
+        stat = os.stat(path)
+        manifest = spark.createDataFrame(
+            [("a", path, stat.st_ino, stat.st_size)], "source_id string, path string, file_id long, size long")
+        batches = plane.plan(manifest, epoch).orderBy("batch_no").collect()
+        return [[(f.seq, f.run_id) for f in b.facts] for b in batches]
+
+    def settle(epoch, *statuses):
+        receipts = spark.createDataFrame(
+            [("a", n, s) for n, s in enumerate(statuses)], "source_id string, batch_no long, http_status int")
+        return [(r.offset, r.next_seq) for r in plane.settle(epoch, receipts).collect()]
+
+    first = [[(1, "r0"), (2, "r1")], [(3, "r2"), (4, "r3")]]
+    size = len(fact("r0"))
+    assert plan(0) == first and plan(0) == first
+    assert settle(0, 503, 200) == []
+    assert plan(1) == first
+    assert settle(1, 200, 503) == [(2 * size, 3)]
+    assert plan(2) == [[(3, "r2"), (4, "r3")], [(5, "r4")]]
+    assert settle(2, 200, 200) == [(5 * size + 5, 6)]
+    assert plan(3) == []
+    write(path, fact("r5")[9:], "a")
+    assert plan(3) == [[(6, "r5")]]
+    assert settle(3, 200) == [(6 * size + 5, 7)]
+    # Replaced: the new file is read from the top and its facts get fresh seqs.
+    os.rename(path, path + ".1")
+    write(path, "".join(fact(f"n{i}") for i in range(9)))
+    assert plan(4) == [[(7, "n0"), (8, "n1")], [(9, "n2"), (10, "n3")]]
+    assert settle(4, 201, 201) == [(4 * size, 11)]
+    write(path, "junk\n" * 3)
+    assert plan(5) == []
+    assert settle(5) == [(15, 11)]
+
+
 def test_numbering_plan_never_sorts_a_whole_source(spark):
     df = spark.range(100).selectExpr("cast(id % 3 as string) as source_id", "id as line_no")
     plan = usage.number_facts(df, ["line_no"])._jdf.queryExecution().toString()
