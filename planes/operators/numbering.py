@@ -61,14 +61,18 @@ def number_rows(
         known = starts.select(*keys, F.greatest("first", F.lit(1)).cast("long").alias("_first"))
         bases = bases.join(known, keys, "left").withColumn("_first", F.coalesce("_first", F.lit(1)))
 
-    inside = Window.partitionBy(*keys, *chunk).orderBy(*order)
-    ordinal = F.col(_BASE) + F.row_number().over(inside)
-    numbered = df.join(bases, [*keys, *chunk]).withColumn("ordinal", ordinal.cast("long"))
+    place = F.row_number().over(Window.partitionBy(*keys, *chunk).orderBy(*order))
+    if limit is None:
+        # Numbered first: the window leaves rows sorted the way the join wants them.
+        numbered = df.withColumn("_place", place).join(bases, [*keys, *chunk])
+    else:
+        numbered = df.join(bases, [*keys, *chunk]).withColumn("_place", place)
+    numbered = numbered.withColumn("ordinal", (F.col(_BASE) + F.col("_place")).cast("long"))
     if limit is not None:
         numbered = numbered.filter(F.col("ordinal") <= limit)
     if "seq" not in df.columns:
         numbered = numbered.withColumn("seq", F.col("ordinal") + F.col("_first") - 1)
-    return numbered.drop(_BASE, "_first", *([_CHUNK] if spans else []))
+    return numbered.drop(_BASE, "_first", "_place", *([_CHUNK] if spans else []))
 
 
 def assemble_batches(

@@ -41,14 +41,12 @@ def frames(
         F.sum("_n").over(whole).alias("_closed"),
     )
     before = Window.partitionBy(*keys, *chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = kept.join(bases, [*keys, *chunk]).select(
-        *keys,
-        *place,
-        "line",
-        "_closed",
-        (F.col("_base") + F.coalesce(F.count_if(blank).over(before), F.lit(0))).alias("frame_no"),
+    local = kept.withColumn("_local", F.coalesce(F.count_if(blank).over(before), F.lit(0)))
+    # Joined in the window's order, and without the blank lines it has counted.
+    numbered = local.filter(~blank).join(bases, [*keys, *chunk]).withColumn(
+        "frame_no", F.col("_base") + F.col("_local")
     )
-    closed = numbered.filter(~blank & (F.col("frame_no") < F.col("_closed")))
+    closed = numbered.filter(F.col("frame_no") < F.col("_closed"))
     value = F.btrim(F.substring("line", len(DATA) + 1, 1 << 30), F.lit(LINE_SPACE))
     last = closed.groupBy(*keys, "frame_no").agg(F.max_by(value, F.struct(*place)).alias("line"))
     return last.filter(F.col("line") != "")
