@@ -94,6 +94,7 @@ def resume(events: DataFrame, cursors: DataFrame) -> DataFrame:
 
 
 def allow(events: DataFrame, policy: TypePolicy) -> DataFrame:
+    """Events whose type may leave. Cursors pass the others all the same."""
     return events.filter(F.col("type").isin(*policy.allowed))
 
 
@@ -158,26 +159,35 @@ def first_filled(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(""))
 
 
-def redact(events: DataFrame, policy: TypePolicy, redaction: Redaction) -> DataFrame:
-    """Allowed events as envelopes, tagged with their city."""
-    allowed = allow(events, policy)
-    content = [F.lit("").alias("title"), F.lit("").alias("formula")]
+def redact(
+    events: DataFrame, policy: TypePolicy, redaction: Redaction, *, keep_dropped: bool = False
+) -> DataFrame:
+    """Allowed events as envelopes, tagged with their city.
+
+    ``keep_dropped`` keeps the others too, as rows with nothing but city and seq and with
+    ``exported`` false, for those who count what was seen.
+    """
+    allowed = F.col("type").isin(*policy.allowed)
+    rows = events if keep_dropped else events.filter(allowed)
+    content = {"title": F.lit(""), "formula": F.lit("")}
     if redaction.emit_content:
-        allowed = lift_content(allowed)
-        content = [F.col("title"), F.col("formula")]
+        rows = lift_content(rows)
+        content = {"title": F.col("title"), "formula": F.col("formula")}
     hashed = F.when(F.col("type").isin(*policy.emit_actor), actor_hash(F.col("actor"), redaction.salt))
-    return allowed.select(
-        "city",
-        "seq",
-        "type",
-        "ts",
-        F.coalesce(hashed, F.lit("")).alias("actor_hash"),
-        gated_ref(policy, redaction).alias("ref"),
-        gated_id("run_id", redaction).alias("run_id"),
-        gated_id("session_id", redaction).alias("session_id"),
-        gated_id("step_id", redaction).alias("step_id"),
-        *content,
-    )
+    columns = {
+        "type": F.col("type"),
+        "ts": F.col("ts"),
+        "actor_hash": F.coalesce(hashed, F.lit("")),
+        "ref": gated_ref(policy, redaction),
+        "run_id": gated_id("run_id", redaction),
+        "session_id": gated_id("session_id", redaction),
+        "step_id": gated_id("step_id", redaction),
+        **content,
+    }
+    if not keep_dropped:
+        return rows.select("city", "seq", *[c.alias(n) for n, c in columns.items()])
+    blanked = [F.when(allowed, c).alias(n) for n, c in columns.items()]
+    return rows.select("city", "seq", *blanked, allowed.alias("exported"))
 
 
 def event_batches(

@@ -10,6 +10,7 @@ from planes.functions.text import starts_with_key_block
 from planes.operators import recall
 from planes.schemas import SNAPSHOT_STATE
 from planes.sources.files import read_content
+from planes.sources.outbox import epoch_path, store_epoch
 from planes.sources.state import StateTable
 
 # Content bytes one task should read; a single file may exceed it.
@@ -31,9 +32,6 @@ class RecallPass:
     def state(self) -> StateTable:
         return StateTable(self.spark, f"{self.root}/state", SNAPSHOT_STATE)
 
-    def _epoch(self, kind: str, epoch: int) -> str:
-        return f"{self.root}/{kind}/epoch={epoch:010d}"
-
     def plan(self, listing: DataFrame, epoch: int) -> DataFrame:
         """Write and return the epoch's decisions; those to send carry their content.
 
@@ -43,16 +41,15 @@ class RecallPass:
         state = self.state.read(before=epoch)
         if "root_no" not in listing.columns:
             listing = listing.withColumn("root_no", F.lit(0))
-        listing = recall.dedupe_paths(listing)
-        to_read = recall.needs_read(
-            recall.candidates(listing, strict=self.strict), state, self.max_bytes
-        )
-        to_read.select(
+        # Filtered before anything is shuffled. A path counts once, under the first root
+        # it passes for; being grouped by path, it meets its state without a new shuffle.
+        found = recall.dedupe_paths(recall.candidates(listing, strict=self.strict))
+        to_read = recall.needs_read(found, state, self.max_bytes).select(
             *LISTING,
             F.col("prior.status").alias("prior_status"),
             F.col("prior.sha256_hex").alias("prior_sha256"),
-        ).write.mode("overwrite").parquet(self._epoch("to_read", epoch))
-        planned = self.spark.read.parquet(self._epoch("to_read", epoch))
+        )
+        planned = store_epoch(to_read, self.root, "to_read", epoch)
 
         total = planned.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         tasks = max(total // TASK_BYTES + 1, self.spark.sparkContext.defaultParallelism)
@@ -73,15 +70,14 @@ class RecallPass:
         )
         sent = F.when(F.col("action") == "send", F.col("content"))
         outbox = decided.drop("prior", "prior_status", "prior_sha256").withColumn("content", sent)
-        outbox.write.mode("overwrite").parquet(self._epoch("outbox", epoch))
-        return self.spark.read.parquet(self._epoch("outbox", epoch))
+        return store_epoch(outbox, self.root, "outbox", epoch)
 
     def settle(self, epoch: int, receipts: DataFrame) -> DataFrame:
         """Fold the epoch's receipts into the state; returns the pass's statistics.
 
         A pass that sent, failed and skipped nothing leaves the state as it was.
         """
-        decided = self.spark.read.parquet(self._epoch("outbox", epoch)).drop("content")
+        decided = self.spark.read.parquet(epoch_path(self.root, "outbox", epoch)).drop("content")
         settled = recall.settle(decided, receipts)
         stats = recall.scan_stats(settled, [])
         if any(stats.first()):

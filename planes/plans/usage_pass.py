@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from planes.operators import usage
 from planes.operators.numbering import BYTE_CHUNK_BITS
 from planes.schemas import USAGE_CURSOR
-from planes.sources.outbox import write_outbox
+from planes.sources.outbox import epoch_path, store_epoch
 from planes.sources.ranges import read_ranges
 from planes.sources.state import StateTable
 
@@ -27,12 +27,8 @@ class UsagePass:
     def state(self) -> StateTable:
         return StateTable(self.spark, f"{self.root}/state", USAGE_CURSOR)
 
-    def _epoch(self, kind: str, epoch: int) -> str:
-        return f"{self.root}/{kind}/epoch={epoch:010d}"
-
     def _stored(self, rows: DataFrame, kind: str, epoch: int) -> DataFrame:
-        rows.write.mode("overwrite").parquet(self._epoch(kind, epoch))
-        return self.spark.read.schema(rows.schema).parquet(self._epoch(kind, epoch))
+        return store_epoch(rows, self.root, kind, epoch)
 
     def plan(self, manifest: DataFrame, epoch: int) -> DataFrame:
         """Write and return the epoch's batches.
@@ -70,17 +66,14 @@ class UsagePass:
             "numbered",
             epoch,
         )
-        write_outbox(
-            usage.usage_batches(numbered, batch_max=self.batch_max), f"{self.root}/outbox", epoch
-        )
-        return self.spark.read.parquet(self._epoch("outbox", epoch))
+        return self._stored(usage.usage_batches(numbered, batch_max=self.batch_max), "outbox", epoch)
 
     def settle(self, epoch: int, receipts: DataFrame) -> DataFrame:
         """Move the cursors over the epoch's confirmed batches; returns the new cursors.
 
         ``receipts`` has source_id, batch_no, http_status.
         """
-        read = lambda kind: self.spark.read.parquet(self._epoch(kind, epoch))
+        read = lambda kind: self.spark.read.parquet(epoch_path(self.root, kind, epoch))
         ranges, lines, facts, numbered = (read(k) for k in ("ranges", "lines", "facts", "numbered"))
         # A source with more facts than one pass takes stops at the last one taken.
         per_source = facts.groupBy("source_id").agg(F.count(F.lit(1)).alias("_all"))

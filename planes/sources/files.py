@@ -21,24 +21,19 @@ def list_transcripts(spark: SparkSession, roots: list[str], source_id: str) -> D
     and underscore-prefixed names and directories are invisible to this listing and links
     look like files; where either matters use ``from_manifest``.
     """
-    listings = [
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select(
-            F.lit(source_id).alias("source_id"),
-            F.lit(no).alias("root_no"),
-            F.lit(root.rstrip("/")).alias("root"),
-            F.regexp_replace("path", "^file:/+", "/").alias("path"),
-            F.col("length").alias("size"),
-            F.unix_millis("modificationTime").alias("mtime_ms"),
-        )
-        for no, root in enumerate(roots)
-    ]
-    found = listings[0]
-    for listing in listings[1:]:
-        found = found.unionByName(listing)
-    return found
+    roots = [r.rstrip("/") for r in roots]
+    # A root inside another one is listed along with it.
+    outer = [r for r in roots if not any(r.startswith(f"{o}/") for o in roots)]
+    known = F.array(*[F.struct(F.lit(n).alias("root_no"), F.lit(r).alias("root")) for n, r in enumerate(roots)])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(dict.fromkeys(outer)))
+    listing = files.select(
+        F.lit(source_id).alias("source_id"),
+        F.regexp_replace("path", "^file:/+", "/").alias("path"),
+        F.col("length").alias("size"),
+        F.unix_millis("modificationTime").alias("mtime_ms"),
+    )
+    above = F.filter(known, lambda k: F.startswith(F.col("path"), F.concat(k["root"], F.lit("/"))))
+    return listing.select("*", F.inline(above))
 
 
 def from_manifest(manifest: DataFrame) -> DataFrame:

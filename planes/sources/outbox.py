@@ -12,9 +12,24 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from planes.sources.textlines import existing
 
 
-def write_outbox(rows: DataFrame, path: str, epoch: int, fmt: str = "parquet") -> None:
-    """Write one epoch's rows; writing an epoch again replaces it."""
-    rows.write.mode("overwrite").format(fmt).save(f"{path}/epoch={epoch:010d}")
+def store_epoch(rows: DataFrame, root: str, kind: str, epoch: int) -> DataFrame:
+    """Write ``rows`` as the epoch's table of that kind and read it back.
+
+    Writing an epoch again replaces it. What several steps use is computed once, and an
+    executor lost later costs only the reading of it.
+    """
+    rows.write.mode("overwrite").parquet(epoch_path(root, kind, epoch))
+    return rows.sparkSession.read.schema(rows.schema).parquet(epoch_path(root, kind, epoch))
+
+
+def epoch_path(root: str, kind: str, epoch: int) -> str:
+    return f"{root}/{kind}/epoch={epoch:010d}"
+
+
+def with_body(batches: DataFrame, key: str, name: str, items: str) -> DataFrame:
+    """Add ``body``, the JSON text of each batch: its key as ``name``, version and items."""
+    wire = F.struct(F.col(key).alias(name), "schema_version", items)
+    return batches.withColumn("body", F.to_json(wire))
 
 
 def read_outbox(

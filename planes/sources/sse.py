@@ -24,7 +24,8 @@ def frames(
     """
     keys, chunk, order = list(keys), list(chunk), list(order)
     # Only blank and data lines matter; a line may end in CR.
-    text = F.regexp_replace("line", "\r$", "")
+    line = F.col("line")
+    text = F.when(line.endswith("\r"), F.left(line, F.length(line) - 1)).otherwise(line)
     place = list(dict.fromkeys([*chunk, *order]))
     kept = lines.select(*keys, *place, text.alias("line")).filter(
         (F.col("line") == "") | F.col("line").startswith(DATA)
@@ -59,6 +60,4 @@ def read_sse(spark: SparkSession, paths: str | list[str], city_pattern: str) ->
     path. One scan covers every city.
     """
     lines = read_lines(spark, paths).withColumn("city", F.regexp_extract("file_path", city_pattern, 1))
-    return frames(
-        lines, ["city", "file_path"], ["line_id"], chunk=["block_start"]
-    )
+    return frames(lines, ["city", "file_path"], ["line_id"], chunk=["block_start"])

@@ -20,7 +20,7 @@ from planes.plans.recall_pass import RecallPass
 from planes.schemas import EVENT_CURSOR, HIGH_WATER, LISTING, USAGE_CURSOR
 from planes.sources.files import from_manifest
 from planes.sources.ledger import LEDGER_CHUNK, LEDGER_ORDER
-from planes.sources.outbox import write_outbox
+from planes.sources.outbox import store_epoch
 from planes.sources.sse import frames
 from planes.sources.state import StateTable
 from planes.sources.textlines import stream_lines, with_line_id
@@ -52,6 +52,9 @@ class Folders:
     def outbox(self) -> str:
         return f"{self.root}/outbox"
 
+    def stored(self, rows: DataFrame, kind: str, epoch: int) -> DataFrame:
+        return store_epoch(rows, self.root, kind, epoch)
+
 
 def cadence(seconds: float | None, default: int, floor: int) -> dict:
     """Arguments for ``trigger``: every so many seconds, never below the floor."""
@@ -106,13 +109,10 @@ def start_usage(
             order, chunk = LEDGER_ORDER, LEDGER_CHUNK
             rows = with_line_id(micro_batch).filter(F.octet_length("line") < usage.READ_WINDOW)
         facts = usage.model_facts(usage.decode_usage(rows))
-        numbered = usage.number_facts(facts, order, chunk=chunk, cursors=cursors)
-        batches = usage.usage_batches(numbered, batch_max=batch_max)
-        write_outbox(batches, folders.outbox, epoch)
-
-        written = micro_batch.sparkSession.read.schema(batches.schema).parquet(
-            f"{folders.outbox}/epoch={epoch:010d}"
+        numbered = usage.number_facts(
+            folders.stored(facts, "facts", epoch), order, chunk=chunk, cursors=cursors
         )
+        written = folders.stored(usage.usage_batches(numbered, batch_max=batch_max), "outbox", epoch)
         if deliver is not None:
             deliver(written)
         ends = written.groupBy("source_id").agg((F.max("last_seq") + 1).alias("_next"))
@@ -157,15 +157,14 @@ def start_events(
             framed.select("city", "line"), content=redaction.emit_content
         )
         fresh = events.resume(decoded, cursors)
-        batches = events.event_batches(events.redact(fresh, policy, redaction), batch_max=batch_max)
-        write_outbox(batches, folders.outbox, epoch)
+        envelopes = folders.stored(
+            events.redact(fresh, policy, redaction, keep_dropped=True), "envelopes", epoch
+        )
+        batches = events.event_batches(envelopes.filter("exported"), batch_max=batch_max)
+        written = folders.stored(batches, "outbox", epoch)
         if deliver is not None:
-            deliver(
-                micro_batch.sparkSession.read.schema(batches.schema).parquet(
-                    f"{folders.outbox}/epoch={epoch:010d}"
-                )
-            )
-        seen = fresh.groupBy("city").agg(F.max("seq").alias("seq"))
+            deliver(written)
+        seen = envelopes.groupBy("city").agg(F.max("seq").alias("seq"))
         newest = cursors.unionByName(seen).groupBy("city").agg(F.max("seq").alias("seq"))
         state.write(newest, epoch)
 
@@ -220,8 +219,8 @@ def start_ingest(
         marks = state.read(before=epoch)
         checked = consumer.validate(consumer.facts_of(micro_batch))
         fresh = consumer.drop_replays(checked.filter(F.col("verdict") == "accepted"), marks)
-        write_outbox(consumer.spend_rows(fresh.drop("verdict")), folders.outbox, epoch)
-        state.write(consumer.next_high_water(marks, fresh), epoch)
+        spend = folders.stored(consumer.spend_rows(fresh.drop("verdict")), "outbox", epoch)
+        state.write(consumer.next_high_water(marks, spend), epoch)
 
     trigger = {"availableNow": True} if once else cadence(seconds, USAGE_SECONDS, USAGE_FLOOR)
     return _start(batches, folders, "ingest", step, trigger)

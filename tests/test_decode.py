@@ -15,13 +15,19 @@ def one_column(spark, values, name="line"):
     return spark.createDataFrame([(v,) for v in values], f"{name} string")
 
 
+def each(spark, cases, column):
+    """Pairs of each case's text and what the column makes of it."""
+    got = one_column(spark, [case[0] for case in cases]).select("line", column).collect()
+    return [tuple(r) for r in got]
+
+
 GOOD = {
     "run_id": "r", "session_id": "s", "kind": "model", "model": "m", "provider": "p",
     "input_tokens": 10, "output_tokens": 5, "cost_usd_estimate": 0.001, "at": 1700000000000,
 }
 
 
-@pytest.mark.parametrize("line, kept", [
+LINES = [
     (json.dumps(GOOD), True),
     (json.dumps(GOOD, separators=(",", ":")), True),
     (" \t" + json.dumps(GOOD) + " \r", True),
@@ -52,10 +58,13 @@ GOOD = {
     ("null", False),
     ("", False),
     ("  ", False),
-])
-def test_line_is_kept_or_dropped_whole(spark, line, kept):
-    got = usage.model_facts(usage.decode_usage(one_column(spark, [line])))
-    assert got.count() == int(kept)
+]
+
+
+def test_lines_are_kept_or_dropped_whole(spark):
+    df = spark.createDataFrame([(n, line) for n, (line, _) in enumerate(LINES)], "n int, line string")
+    got = {r.n for r in usage.model_facts(usage.decode_usage(df)).select("n").collect()}
+    assert [line for n, (line, kept) in enumerate(LINES) if (n in got) != kept] == []
 
 
 def test_absent_and_null_are_zero_values_and_unknown_fields_vanish(spark):
@@ -85,7 +94,7 @@ def test_unsigned_fields_reject_negatives(spark):
     assert [r.seq for r in decode_lines(df, EVENT_LINE, unsigned=("seq",)).collect()] == [3]
 
 
-@pytest.mark.parametrize("stamp, micros", [
+STAMPS = [
     ("2026-06-21T10:00:00Z", 1782036000000000),
     ("2026-06-21T10:00:00.123456789Z", 1782036000123456),
     ("2026-06-21T10:00:00,5Z", 1782036000500000),
@@ -98,25 +107,29 @@ def test_unsigned_fields_reject_negatives(spark):
     ("2026-06-21T25:00:00Z", None),
     ("0001-01-01T00:00:00Z", None),
     ("", None),
-])
-def test_timestamp(spark, stamp, micros):
-    got = one_column(spark, [stamp]).select(F.unix_micros(text.rfc3339(F.col("line")))).first()[0]
-    assert got == micros
+]
 
 
-@pytest.mark.parametrize("ref, formula", [
+def test_timestamps(spark):
+    parsed = F.unix_micros(text.rfc3339(F.col("line")))
+    assert each(spark, STAMPS, parsed) == STAMPS
+
+
+REFS = [
     ("mol-randy-triage-patrol.apply", "randy-triage-patrol"),
     ("mol-seth-patrol.patrol", "seth-patrol"),
     ("mol-randy-triage-patrol.report-scope-check", "randy-triage-patrol"),
     ("mol-bare", "bare"),
     ("not-a-mol-ref", ""),
     ("", ""),
-])
-def test_formula_of_ref(spark, ref, formula):
-    assert one_column(spark, [ref]).select(text.formula_of_ref(F.col("line"))).first()[0] == formula
+]
+
+
+def test_formula_of_ref(spark):
+    assert each(spark, REFS, text.formula_of_ref(F.col("line"))) == REFS
 
 
-@pytest.mark.parametrize("head, is_key", [
+HEADS = [
     (b"-----BEGIN PRIVATE KEY-----\n...", True),
     (b"\n  -----BEGIN RSA PRIVATE KEY-----", True),
     (b"\xef\xbb\xbf-----BEGIN PRIVATE KEY-----\n", True),
@@ -125,13 +138,16 @@ def test_formula_of_ref(spark, ref, formula):
     (b'\xef\xbb\xbf{"type":"user"}', False),
     (b"\xef\xbb\xbf\xef\xbb\xbf-----BEGIN", False),
     (b" " * 60 + b"-----BEGIN", False),
-])
-def test_key_block_sniff(spark, head, is_key):
-    df = spark.createDataFrame([(bytearray(head),)], "c binary")
-    assert df.select(text.starts_with_key_block(F.col("c"))).first()[0] == is_key
+]
 
 
-@pytest.mark.parametrize("name, glob, matches", [
+def test_key_block_sniff(spark):
+    df = spark.createDataFrame([(bytearray(head),) for head, _ in HEADS], "c binary")
+    got = df.select("c", text.starts_with_key_block(F.col("c"))).collect()
+    assert [(bytes(c), is_key) for c, is_key in got] == HEADS
+
+
+GLOBS = [
     ("mcp.json", "*mcp*.json", True),
     ("foo-mcp-bar.json", "*mcp*.json", True),
     ("mcp.jsonl", "*mcp*.json", False),
@@ -146,9 +162,13 @@ def test_key_block_sniff(spark, head, is_key):
     ("abc", "a?c", True),
     ("ac", "a?c", False),
     ("a.env\n", "*.env", False),
-])
-def test_globs(spark, name, glob, matches):
-    assert one_column(spark, [name]).filter(F.col("line").rlike(text.glob_regex((glob,)))).count() == int(matches)
+]
+
+
+def test_globs(spark):
+    for glob in sorted({g for _, g, _ in GLOBS}):
+        cases = [(name, matches) for name, g, matches in GLOBS if g == glob]
+        assert each(spark, cases, F.col("line").rlike(text.glob_regex((glob,)))) == cases
 
 
 def test_city_names_keep_first_positions(spark):
@@ -165,21 +185,23 @@ def test_actor_hash_needs_a_salt_and_leaves_no_actor_empty(spark):
     assert len(hashed) == 16 and int(hashed, 16) >= 0 and none == ""
 
 
-@pytest.mark.parametrize("status, snapshot, batch", [
+OUTCOMES = [
     (200, "sent", "advance"), (201, "sent", "advance"), (204, "failed", "advance"),
     (422, "rejected", "hold"), (409, "rejected", "hold"), (429, "failed", "hold"),
     (503, "failed", "hold"), (302, "failed", "hold"), (None, "failed", "hold"),
-])
-def test_outcomes(spark, status, snapshot, batch):
-    df = spark.createDataFrame([(status,)], "s int")
-    got = df.select(outcomes.snapshot_outcome(F.col("s")), outcomes.batch_outcome(F.col("s"))).first()
-    assert tuple(got) == (snapshot, batch)
+]
+
+
+def test_outcomes(spark):
+    df = spark.createDataFrame([(status,) for status, *_ in OUTCOMES], "s int")
+    got = df.select("s", outcomes.snapshot_outcome(F.col("s")), outcomes.batch_outcome(F.col("s")))
+    assert [tuple(r) for r in got.collect()] == OUTCOMES
 
 
 LIFT = '{"bead":{"id":"mc-1","title":"Spike [HIGH]","metadata":{%s}}}'
 
 
-@pytest.mark.parametrize("payload, title, run, step, formula", [
+LIFTED = [
     (LIFT % '"gc.step_id":"syn","gc.root_bead_id":"mc-m8","gc.step_ref":"mol-a-b.apply"',
      "Spike [HIGH]", "mc-m8", "syn", "a-b"),
     (LIFT % '"gc.formula_name":"explicit","gc.step_ref":"mol-other.x"', "Spike [HIGH]", "", "", "explicit"),
@@ -193,10 +215,13 @@ LIFT = '{"bead":{"id":"mc-1","title":"Spike [HIGH]","metadata":{%s}}}'
     ('{"bead":null}', "", "", "", ""),
     ('{"bead":"text"}', "", "", "", ""),
     ("[]", "", "", "", ""),
-])
-def test_content_lift(spark, payload, title, run, step, formula):
-    df = spark.createDataFrame([("", "", payload)], "run_id string, step_id string, payload string")
-    got = events.lift_content(df).first()
-    assert (got.title, got.run_id, got.step_id, got.formula) == (title, run, step, formula)
+    (None, "", "", "", ""),
+]
+
+
+def test_content_lift(spark):
+    df = spark.createDataFrame([("", "", row[0]) for row in LIFTED], "run_id string, step_id string, payload string")
+    got = events.lift_content(df).select("payload", "title", "run_id", "step_id", "formula")
+    assert [tuple(r) for r in got.collect()] == LIFTED
 
 

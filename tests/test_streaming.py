@@ -8,7 +8,7 @@ from pyspark.sql import functions as F, types as T
 
 from planes.operators.events import Redaction, TypePolicy
 from planes.schemas import EVENT_CURSOR, HIGH_WATER, LISTING, SNAPSHOT_STATE, USAGE_CURSOR
-from planes.sources.outbox import read_outbox, read_receipts
+from planes.sources.outbox import read_outbox, read_receipts, with_body
 from planes.sources.state import StateTable
 from planes.streaming.axes import (
     Folders,
@@ -57,6 +57,11 @@ def test_sealed_segments_go_on_numbering_after_a_restart(spark, tmp_path):
     go()
     assert sent(spark, folders) == sorted([*first, ("a", 4, "r4")])
     assert cursor(spark, folders) == {"a": 5, "b": 2}
+    rows = with_body(read_outbox(spark, folders.outbox, ["source_id", "first_seq"]), "source_id", "source_id", "facts")
+    body = json.loads(rows.filter("source_id = 'b'").first().body)
+    assert (body["source_id"], body["schema_version"]) == ("b", 1)
+    assert body["facts"] == [{**json.loads(fact("x1")), "seq": 1, "step_id": "", "worker": "", "unpriced": False,
+                              "cache_read_tokens": 0, "cache_creation_tokens": 0}]
     sizes = read_outbox(spark, folders.outbox, ["source_id", "first_seq"]).agg(F.max("n")).first()[0]
     assert sizes == 2
 
