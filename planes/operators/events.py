@@ -123,31 +123,27 @@ def lift_content(events: DataFrame) -> DataFrame:
     def is_text(v: Column) -> Column:
         return F.coalesce(F.schema_of_variant(v), F.lit("VOID")).isin("STRING", "VOID")
 
-    def lifted(parsed: Column) -> Column:
-        title, meta = parsed["bead"]["title"], parsed["bead"]["metadata"]
-        sound = (
+    def sound(parsed: Column) -> Column:
+        values = F.map_values(parsed["bead"]["metadata"])
+        return (
             parsed["_bad"].isNull()
-            & is_text(title)
-            & F.coalesce(F.forall(F.map_values(meta), is_text), F.lit(True))
+            & is_text(parsed["bead"]["title"])
+            & F.coalesce(F.forall(values, is_text), F.lit(True))
         )
 
-        def text(v: Column) -> Column:
-            return zero_filled(F.when(sound, F.try_variant_get(v, "$", "string")), S)
+    def text(v: Column) -> Column:
+        return zero_filled(F.try_variant_get(v, "$", "string"), S)
 
-        return F.struct(
-            text(title).alias("title"),
-            formula_choice(text(meta[META_FORMULA]), text(meta[META_STEP_REF])).alias("formula"),
-            text(meta[META_RUN]).alias("_run"),
-            text(meta[META_STEP]).alias("_step"),
-        )
-
-    # Generated from an array of one, so that each payload is parsed once.
+    # Generated from an array of one or none, so that each payload is parsed once.
     parsed = F.array(F.from_json("payload", _PAYLOAD, {"columnNameOfCorruptRecord": "_bad"}))
-    rows = events.select("*", F.inline(F.transform(parsed, lifted)))
+    rows = events.select("*", F.inline_outer(F.filter(parsed, sound)))
+    meta = F.col("bead.metadata")
     return rows.withColumns({
-        "run_id": first_filled(F.col("run_id"), F.col("_run")),
-        "step_id": first_filled(F.col("step_id"), F.col("_step")),
-    }).drop("_run", "_step")
+        "title": text(F.col("bead.title")),
+        "formula": formula_choice(text(meta[META_FORMULA]), text(meta[META_STEP_REF])),
+        "run_id": first_filled(F.col("run_id"), text(meta[META_RUN])),
+        "step_id": first_filled(F.col("step_id"), text(meta[META_STEP])),
+    }).drop("bead", "_bad")
 
 
 def formula_choice(name: Column, step_ref: Column) -> Column:

@@ -87,7 +87,7 @@ def _read_capped(path: str, max_bytes: int) -> bytes | None:
     from pyarrow import fs
 
     try:
-        store, where = fs.FileSystem.from_uri(path)
+        store, where = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
         info = store.get_file_info(where)
         if info.type != fs.FileType.File or info.size > max_bytes:
             return None

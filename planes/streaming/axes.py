@@ -18,6 +18,7 @@ from planes.operators.events import Redaction, TypePolicy
 from planes.operators.numbering import BYTE_CHUNK_BITS
 from planes.plans.recall_pass import RecallPass
 from planes.schemas import EVENT_CURSOR, HIGH_WATER, LISTING, USAGE_CURSOR
+from planes.session import shared_dir
 from planes.sources.files import from_manifest
 from planes.sources.ledger import LEDGER_CHUNK, LEDGER_ORDER
 from planes.sources.outbox import store_epoch
@@ -40,6 +41,11 @@ class Folders:
 
     root: str
 
+    @classmethod
+    def shared(cls, spark: SparkSession, name: str) -> Folders:
+        """Folders below the one the cluster shares between executors."""
+        return cls(f"{shared_dir(spark)}/{name}")
+
     @property
     def checkpoint(self) -> str:
         return f"{self.root}/checkpoint"

@@ -116,11 +116,11 @@ def test_timestamps(spark):
 
 
 REFS = [
-    ("mol-randy-triage-patrol.apply", "randy-triage-patrol"),
-    ("mol-seth-patrol.patrol", "seth-patrol"),
-    ("mol-randy-triage-patrol.report-scope-check", "randy-triage-patrol"),
-    ("mol-bare", "bare"),
-    ("not-a-mol-ref", ""),
+    ("mol-night-shift-check.apply", "night-shift-check"),
+    ("mol-sweep.sweep", "sweep"),
+    ("mol-night-shift-check.close-the-day", "night-shift-check"),
+    ("mol-single", "single"),
+    ("no-mol-ref", ""),
     ("", ""),
 ]
 
@@ -172,9 +172,9 @@ def test_globs(spark):
 
 
 def test_city_names_keep_first_positions(spark):
-    raw = "maintainer-city, paxel maintainer-city\nfoo,, paxel"
+    raw = "north, harbor north\nmill,, harbor"
     got = one_column(spark, [raw]).select(text.city_names(F.col("line"))).first()[0]
-    assert got == ["maintainer-city", "paxel", "foo"]
+    assert got == ["north", "harbor", "mill"]
 
 
 def test_actor_hash_needs_a_salt_and_leaves_no_actor_empty(spark):
