@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -27,7 +29,18 @@ def build_session(
         builder = builder.master(master)
     for key, value in {**CLUSTER_CONF, **(conf or {})}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package, which byte ranges and file contents are read with."""
+    package = Path(__file__).parent
+    archive = Path(_local_dir()) / "planes.zip"
+    if not archive.exists():
+        shutil.make_archive(str(archive.with_suffix("")), "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(str(archive))
 
 
 def shared_dir(spark: SparkSession) -> str:
