@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from planes.llm import exact_dedup, ngram_join, sharding
+from planes.llm import decontaminate, exact_dedup, ngram_join, sharding, substring_dedup
 from planes.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,36 @@ ranked as (
 select doc_id, coalesce(n, 0) as n_shingles, component_id
 from (select a as doc_id, min(b) as component_id from reach group by 1) left join n using (doc_id)
 """
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.cut(table(spark, sf_dir, "documents"), min_words=13)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE["op9_substring_dedup"] = r"""
+with w as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as ws from documents
+), s as (
+  select doc_id, unnest(range(1, len(ws) - 11)) as i, ws from w
+), v as (
+  select doc_id, i, array_to_string(ws[i:i + 12], ' ') as win from s
+), f as (
+  select win, min(doc_id) as first_doc from v group by win
+), gone as (
+  select distinct doc_id, unnest(range(i, i + 13)) as pos from v join f using (win) where first_doc < doc_id
+), p as (
+  select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as pos from w
+), k as (
+  select p.doc_id, string_agg(word, ' ' order by p.pos) as kept
+  from p left join gone g on g.doc_id = p.doc_id and g.pos = p.pos where g.pos is null group by 1
+), n as (select doc_id, count(*) as n from gone group by 1)
+select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join n using (doc_id) left join k using (doc_id)
+"""
+
+
+@query
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
