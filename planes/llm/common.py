@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -39,17 +40,19 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read again, so that what follows does not
-    compute it twice and a lost executor costs no more than a read. Afterwards the shuffle
-    files that nothing refers to any more are released."""
+    compute it twice and a lost executor costs no more than a read. After a ``large`` shuffle
+    its files, which nothing refers to any more, are released before the next begins."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/planes-llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     schema = df.schema
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2 * large):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)  # events of the finished write still refer to it for a moment
     return spark.read.schema(schema).parquet(path)
 
 

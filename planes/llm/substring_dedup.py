@@ -73,26 +73,31 @@ def anchor_table(docs: DataFrame, min_words: int, prefix: int) -> DataFrame:
             n = np.where(several, ends - begins, 1)
             known = ~first & np.repeat(several, ends - begins)
             route = np.where(known, mix(code + at.astype(np.uint64) * np.uint64(2) + np.uint64(1)), code)
+            # Narrow rows: the code is named where it is not the route, place and count share a number.
+            place = (at - w.first[row]).astype(np.int64) << 24 | np.where(first, np.repeat(n, ends - begins), 0)
             yield pa.RecordBatch.from_arrays(
-                [signed(route), signed(code), pa.array(ids[row]), pa.array(tags[row]), pa.array((at - w.first[row]).astype(np.int32)),
-                 pa.array(np.where(first, np.repeat(n, ends - begins), 0).astype(np.int64)), pa.array(known)],
-                ["route", "code", "doc_id", "tag", "at", "docs", "known"],
+                [signed(route), pa.array(code.view(np.int64), mask=~known), pa.array(ids[row]), pa.array(tags[row], mask=tags[row] == 0), pa.array(place)],
+                ["route", "known", "doc_id", "tag", "place"],
             )
 
-    return docs.mapInArrow(run, "route long, code long, doc_id long, tag long, at int, docs long, known boolean")
+    return docs.mapInArrow(run, "route long, known long, doc_id long, tag long, place long")
 
 
 def repeated_anchors(docs: DataFrame, min_words: int, prefix: int, group: int) -> DataFrame:
     """doc_id, tag, anchors (place, and whether over ``group`` documents have it)."""
     one = W.partitionBy("route")
+    docs_here = F.col("place").bitwiseAND(0xFFFFFF)
     met = anchor_table(docs, min_words, prefix).select(
-        "code", "doc_id", "tag", "at", "known",
-        F.sum("docs").over(one).alias("docs"),
-        F.max("docs").over(one).alias("most"),
+        "route", "known", "doc_id", "tag", "place",
+        F.sum(docs_here).over(one).alias("docs"),
+        F.max(docs_here).over(one).alias("most"),
         F.min("doc_id").over(one).alias("least_id"),
         F.max("doc_id").over(one).alias("most_id"),
-    ).where("known or most > 1 or least_id < most_id")
-    met = stage(met.select("code", "doc_id", "tag", "at", "known", "docs"), "anchors")
+    ).where("known is not null or most > 1 or least_id < most_id").select(
+        F.coalesce("known", "route").alias("code"), "doc_id", F.coalesce("tag", F.lit(0)).alias("tag"),
+        F.shiftright("place", 24).cast("int").alias("at"), F.col("known").isNotNull().alias("known"), "docs",
+    )
+    met = stage(met, "anchors", large=True)
     heavy = met.where((~F.col("known")) & (F.col("docs") > group)).select("code", F.lit(True).alias("heavy")).distinct()
     marked = met.join(heavy, "code", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
     return marked.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "heavy")).alias("anchors"))
@@ -203,7 +208,7 @@ def repeats(docs: DataFrame, min_words: int = 13, prefix: int = PREFIX, group: i
     prefix = min(prefix, min_words)
     anchors = stage(repeated_anchors(docs, min_words, prefix, group), "anchors")
     suffixes = suffix_table(docs.join(anchors, ["doc_id", "tag"]), min_words, prefix)
-    found = stage(subtree_repeats(suffixes, min_words), "repeats")
+    found = stage(subtree_repeats(suffixes, min_words), "repeats", large=True)
     return found.distinct().groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
 
