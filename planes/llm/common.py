@@ -56,20 +56,16 @@ def stage(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in pieces whose ``text`` has about ``most`` bytes, so that the
-    arrays made from a piece stay small; a longer text comes alone."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in pieces of up to ``rows``, whose ``text`` has about ``most``
+    bytes, so that the arrays made from a piece stay small; a longer text comes alone."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         start = total = 0
         for i, size in enumerate(sizes.tolist()):
-            if total and total + size > most:
+            if i - start >= rows or total and total + size > most:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += size
         if start < batch.num_rows:
             yield batch.slice(start)
-
-
-def ids_of(batch: pa.RecordBatch, column: str) -> list:
-    return batch.column(column).to_pylist()

@@ -79,12 +79,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows repeated in id and text, one."""
-    best = stage(winners(docs, id_col, text_col), "exact-winners").select("digest", F.col("best.id").alias("__id"))
+    best = stage(winners(docs, id_col, text_col), "exact-winners", large=True).select(
+        F.col("digest").alias("__best"), F.col("best.id").alias("__id")
+    )
     body = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"{WHITE}+", "")
-    keyed = docs.withColumns({"__digest": F.unhex(F.sha2(body, 256)), "__chars": F.char_length(F.coalesce(F.col(text_col), F.lit("")))})
+    keyed = docs.withColumn("__digest", F.unhex(F.sha2(body, 256)))
     kept = keyed.join(
-        best,
-        (F.col("__digest") == F.col("digest")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")),
-        "left_semi",
+        best, (F.col("__digest") == F.col("__best")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi"
     )
-    return kept.dropDuplicates(["__digest", id_col]).drop("__digest", "__chars")
+    return kept.dropDuplicates(["__digest", id_col]).drop("__digest")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from planes.llm import chat, decontaminate, exact_dedup, html_text, ngram_join, pieces, sharding, substring_dedup
+from planes.llm import chat, decontaminate, exact_dedup, html_text, ngram_join, pieces, quality, sharding, substring_dedup
 from planes.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,12 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.sha2("decoded", 256) == F.col("text_sha256")).alias("same"),
     )
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
