@@ -1,0 +1,89 @@
+"""The registered queries against SQL, and the pipeline against a plain one."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry_point
+import corpus_pipeline
+from planes.llm import decontaminate, pieces, quality
+from planes.llm.queries import ORACLE, QUERIES
+from tests.conftest import SF_DIR
+from tests.llm.helpers import corpus, docs_of
+from tests.llm.test_dedup import plain_exact, plain_groups
+
+KINDS = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for path in glob.glob(os.path.join(SF_DIR, "*.parquet")):
+        con.execute(f"create view {os.path.basename(path).removesuffix('.parquet')} as select * from read_parquet('{path}')")
+    return con
+
+
+def test_every_operator_has_its_query():
+    names = list(entry_point.queries())
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in (1, 2, 3, 5, 6, 7, 8, 9, 10))
+    assert "pipeline" in names
+    assert set(ORACLE) <= set(QUERIES) and set(ORACLE) <= set(entry_point.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_matches_sql(spark, duck, name):
+    df = QUERIES[name](spark, SF_DIR)
+    result = duck.execute(ORACLE[name])
+    columns = [(d[0], KINDS[str(d[1])]) for d in result.description]
+    assert sorted(df.dtypes) == sorted(columns)
+    order = sorted(c for c, _ in columns)
+    at = [[c for c, _ in columns].index(c) for c in order]
+    want = sorted(tuple(r[i] for i in at) for r in result.fetchall())
+    got = sorted(tuple(r) for r in df.select(*order).collect())
+    assert len(got) == len(want) > 0
+    assert [p for p in zip(got, want) if p[0] != p[1]][:3] == []
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
+def test_query_runs_on_the_whole_table(spark, name):
+    rows = QUERIES[name](spark, SF_DIR).collect()
+    if name == "op7_pieces":
+        assert all(r["same"] for r in rows)
+    if name == "op6_decontaminate":
+        assert len({r["doc_id"] for r in rows}) > 10
+    else:
+        whole = spark.read.parquet(f"{SF_DIR}/{'pages' if name.startswith('op2_') else 'documents'}.parquet").count()
+        assert len(rows) == whole
+
+
+def test_pipeline_equals_a_plain_one(spark, tmp_path):
+    """Every stage's decisions, one after another, on a small corpus."""
+    junk = "AB!! CD!! EF!! GH!! "
+    rows = [(i, t) for i, t in corpus(11) if i is not None] + [(500 + i, junk * (3 + i)) for i in range(40)]
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    rows += [(600, "before " + item + " after"), (601, item)]
+    docs = docs_of(spark, rows)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, 0 if 500 <= i < 600 else 1, 0) for i in range(0, 540)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    kept = rows
+    model = quality.fit_quality(docs, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    good = {(r["doc_id"], r["text"]) for r in quality.score(docs, model).collect() if r["score"] >= 0.5}
+    kept = [r for r in kept if r in good]
+    assert not any(500 <= i < 600 for i, _ in kept) and len(kept) > 80
+    keep = {(r[0], r[1]) for r in plain_exact(kept) if r[3]}
+    kept = sorted({r for r in kept if (r[0], r[0]) in keep}, key=str)
+    groups, _ = plain_groups(kept, 5, 80)
+    kept = [r for r in kept if (r[0] in {i for i, _, c in groups if c == i})]
+    kept = [r for r in kept if r[0] not in (600, 601)]
+
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(kept, key=str)
+    vocabulary = pieces.Unigram(pieces.read_model())
+    assert all(len(r["ids"]) > 0 for r in got if r["text"]) and len(vocabulary.pieces) > max(i for r in got for i in r["ids"])
+    assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+    assert decontaminate.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 2
