@@ -33,6 +33,17 @@ def _enveloped(line: Column) -> Column:
     return F.concat(F.lit('{"d":['), line, F.lit("]}"))
 
 
+def _ends_with_itself(line: Column) -> Column:
+    """The line's own object is all there is: no text after it closes the envelope early.
+
+    What closes the array and the object around it can't also close a lone object, so such
+    a line fails in an envelope of another shape. Only lines with a closing bracket can.
+    """
+    other = F.from_json(F.concat(F.lit('{"x":'), line, F.lit("}")), "struct<x:string,_bad:string>", _READER)
+    whole = F.exists(F.array(other), lambda row: row["_bad"].isNull() & row["x"].isNotNull())
+    return F.when(line.contains("]"), whole).otherwise(True)
+
+
 def _ddl(schema: T.StructType, string_type: str) -> str:
     fields = ",".join(
         f"`{f.name}`:{string_type if f.dataType == T.StringType() else f.dataType.simpleString()}"
@@ -97,7 +108,7 @@ def decode_lines(
     # The steps work on an array of one line that ends up with one row or none, and the
     # row is generated from it. So each line is computed and parsed once; as filters they
     # would be pushed below the projection and repeat both.
-    found = F.transform(F.array(line), trimmed)
+    found = F.filter(F.transform(F.array(line), trimmed), _ends_with_itself)
     if strict:
         found = F.filter(found, lambda text: _strings_are_strings(text, names))
     found = F.transform(found, lambda text: F.from_json(_enveloped(text), _ddl(schema, "string"), _READER))

@@ -21,7 +21,8 @@ class UsagePass:
     spark: SparkSession
     root: str
     batch_max: int = usage.BATCH_MAX
-    max_batches: int = usage.PASS_BATCHES
+    # A bound on the batches of a pass is a choice; what lies beyond it is read again.
+    max_batches: int | None = None
 
     @property
     def state(self) -> StateTable:
@@ -61,7 +62,7 @@ class UsagePass:
         numbered = self._stored(
             usage.number_facts(
                 facts, ["offset"], chunk=["_block"], cursors=ranges,
-                limit=self.batch_max * self.max_batches,
+                limit=None if self.max_batches is None else self.batch_max * self.max_batches,
             ),
             "numbered",
             epoch,

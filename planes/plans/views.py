@@ -110,14 +110,14 @@ VIEWS: dict[str, tuple[str, dict[str, str], str | None]] = {
         },
         None,
     ),
-    # One file per path: the settings files repeat within a directory.
+    # One file per path: settings files, whose name repeats, have a directory each.
     "v_files": (
         "v_snap",
         {
-            c: c
+            c: "case when base = 'settings.json' then concat(root, '/d', cast(doc_id as {S}), '/', base) else path end" if c == "path" else c
             for c in ("doc_id", "source_id", "provider", "root", "path", "content", "size", "sha256_hex", "mtime_ms")
         },
-        "base <> 'settings.json'",
+        None,
     ),
     "v_cursor": (
         "(select distinct city from v_events)",

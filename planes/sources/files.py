@@ -51,7 +51,8 @@ def read_content(files: DataFrame, *, max_bytes: int = MAX_BYTES, keep: bool = T
     """Open each listed file once, in the task that holds its row.
 
     Adds ``content`` (unless ``keep`` is false), ``content_length``, ``sha256_hex`` and
-    the first bytes as ``head``. Files that are gone or grew past the cap have no row.
+    the first bytes as ``head``. Files that are gone or grew past the cap have no row; any
+    other failure to read fails the task, which Spark tries again.
     Give it only the files that need reading: ``needs_read`` names them.
     """
     extra = "content_length long, sha256_hex string, head binary" + (", content binary" if keep else "")
@@ -93,6 +94,6 @@ def _read_capped(path: str, max_bytes: int) -> bytes | None:
             return None
         with store.open_input_stream(where) as stream:
             data = stream.read(max_bytes + 1)
-    except OSError:
+    except FileNotFoundError:
         return None
     return data if len(data) <= max_bytes else None

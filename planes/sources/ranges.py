@@ -6,7 +6,6 @@ its place. Paths must be visible to every executor, as on a shared mount.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,10 +26,13 @@ def read_ranges(ledgers: DataFrame, *, span: int = RANGE_BYTES, max_line: int =
 
     Columns source_id, path, offset, line_end (the offset after the line) and line. Files
     are cut into ranges first, so one long file is read by many tasks. A last line that no
-    newline ends is left for later, one of ``max_line`` bytes or more is skipped, and a
-    file that is gone has no lines.
+    newline ends is left for later and one of ``max_line`` bytes or more is skipped. Rows
+    with a true ``gone``, where there is that column, have no lines; any other path must be
+    there, for a range passed over in silence would be lost once later ones are settled.
     """
     unread = ledgers.filter(F.col("read_from") < F.col("read_to"))
+    if "gone" in ledgers.columns:
+        unread = unread.filter(~F.coalesce("gone", F.lit(False)))
     # Rows are tiny and stand for much more than they weigh, so the number of tasks comes
     # from the bytes to read and not from the size of this table.
     total = unread.agg(F.sum(F.col("read_to") - F.col("read_from"))).first()[0] or 0
@@ -48,8 +50,7 @@ def read_ranges(ledgers: DataFrame, *, span: int = RANGE_BYTES, max_line: int =
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                if os.path.exists(row["path"]):
-                    yield line_batch(row["source_id"], row["path"], row["start"], row["end"], max_line)
+                yield line_batch(row["source_id"], row["path"], row["start"], row["end"], max_line)
 
     # Round robin spreads the ranges of one file over many tasks.
     return ranges.repartition(tasks).mapInArrow(read, LINES)

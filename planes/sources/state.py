@@ -32,16 +32,19 @@ class StateTable:
         known = [v for v in self.versions() if before is None or v < before]
         if not known:
             return self.spark.createDataFrame([], self.schema)
-        reader = self.spark.read.schema(self.schema).option("ignoreCorruptFiles", "true")
-        return reader.parquet(self._dir(known[-1]))
+        return self.spark.read.schema(self.schema).parquet(self._dir(known[-1]))
 
     def write(self, rows: DataFrame, version: int | None = None) -> int:
         """Write ``rows`` as the next version, or as ``version``, and return its number.
 
-        ``rows`` may be computed from an older version, which stays as it is.
+        ``rows`` may be computed from an older version, which stays as it is. A version
+        below the newest is refused: it would hide what the newer ones have settled.
         """
+        newest = max(self.versions(), default=-1)
         if version is None:
-            version = max(self.versions(), default=-1) + 1
+            version = newest + 1
+        if version < newest:
+            raise ValueError(f"version {version} comes after version {newest}; settle passes in order")
         columns = [rows[f.name].cast(f.dataType).alias(f.name) for f in self.schema.fields]
         rows.select(*columns).write.mode("overwrite").parquet(self._dir(version))
         return version

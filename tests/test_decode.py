@@ -50,6 +50,13 @@ LINES = [
     (json.dumps(GOOD) + json.dumps(GOOD), False),
     (json.dumps(GOOD) + "," + json.dumps(GOOD), False),
     (json.dumps(GOOD) + "}", False),
+    (json.dumps(GOOD) + "]} garbage", False),
+    (json.dumps(GOOD) + "]}", False),
+    (json.dumps(GOOD) + ']}{"z":[{', False),
+    (json.dumps(GOOD) + ']}{"z":[{}', False),
+    (json.dumps(GOOD) + '],"d":[' + json.dumps(GOOD), False),
+    (json.dumps(GOOD) + ',1],"d":[' + json.dumps(GOOD), False),
+    (json.dumps({**GOOD, "extra": [1, [2], {"d": [{"x": "]}"}]}]}), True),
     (json.dumps(GOOD).replace("0.001", "NaN"), False),
     (json.dumps(GOOD).replace("0.001", "1e999"), False),
     (json.dumps(GOOD).replace('"', "'"), False),

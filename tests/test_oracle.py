@@ -9,6 +9,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from planes.plans.oracle import BODIES
+from planes.plans.queries import QUERIES
 from tests.conftest import SF_DIR
 
 
@@ -35,11 +37,15 @@ def rows(columns, records):
     return sorted(tuple(plain(r[i]) for i in order) for r in records)
 
 
+KINDS = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}
+
+
 def test_every_query_has_an_oracle():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(QUERIES) == set(BODIES)
+    assert set(QUERIES) <= set(entry_point.queries()) and set(BODIES) <= set(entry_point.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
     df = entry_point.queries()[name](spark, SF_DIR)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
@@ -47,6 +53,8 @@ def test_query_matches_oracle(spark, duck, name):
     columns = [d[0] for d in result.description]
     want = rows(columns, result.fetchall())
     assert sorted(df.columns) == sorted(columns)
+    kinds = {d[0]: KINDS[str(d[1])] for d in result.description if str(d[1]) in KINDS}
+    assert {c: k for c, k in df.dtypes if c in kinds} == kinds
     assert len(got) > 0
     assert len(got) == len(want)
     assert [p for p in zip(got, want) if p[0] != p[1]][:3] == []

@@ -12,7 +12,9 @@ from planes.operators import usage
 from planes.operators.numbering import number_rows
 from planes.plans.usage_pass import UsagePass
 from planes.sources.ledger import LEDGER_CHUNK, LEDGER_ORDER, read_ledgers
+from planes.schemas import USAGE_CURSOR
 from planes.sources.ranges import lines_ending_in, read_ranges
+from planes.sources.state import StateTable
 from planes.streaming.tail_source import first_unread
 
 BY_PARENT = r"([^/]+)/[^/]*$"
@@ -226,13 +228,28 @@ def test_ranges_cover_each_line_once_wherever_they_are_cut(tmp_path):
 
 def test_ranges_of_many_files_are_read_by_place(spark, tmp_path):
     a = write(f"{tmp_path}/a/usage.jsonl", "one\ntwo\n\nthree\nfour")
-    rows = [("a", a, 4, 18), ("gone", f"{tmp_path}/none", 0, 9), ("done", a, 18, 18)]
-    df = spark.createDataFrame(rows, "source_id string, path string, read_from long, read_to long")
+    rows = [("a", a, 4, 18, None), ("gone", f"{tmp_path}/none", 0, 9, True), ("done", a, 18, 18, False)]
+    df = spark.createDataFrame(rows, "source_id string, path string, read_from long, read_to long, gone boolean")
     for span in (1, 5, 100):
         got = sorted((r.offset, r.line_end, r.line) for r in read_ranges(df, span=span).collect())
         assert got == [(4, 8, "two"), (8, 9, ""), (9, 15, "three")]
 
 
+def test_a_range_that_cannot_be_read_is_no_silence(spark, tmp_path):
+    df = spark.createDataFrame([("a", f"{tmp_path}/none", 0, 9)], "source_id string, path string, read_from long, read_to long")
+    with pytest.raises(Exception, match="No such file"):
+        read_ranges(df).collect()
+
+
+def test_state_is_settled_in_order(spark, tmp_path):
+    state = StateTable(spark, str(tmp_path / "state"), USAGE_CURSOR)
+    rows = spark.createDataFrame([], USAGE_CURSOR)
+    state.write(rows, 6)
+    state.write(rows, 6)
+    with pytest.raises(ValueError, match="in order"):
+        state.write(rows, 5)
+
+
 def test_passes_read_only_new_bytes_and_hold_what_is_not_confirmed(spark, tmp_path):
     plane = UsagePass(spark, str(tmp_path / "w"), batch_max=2, max_batches=2)
     path = write(f"{tmp_path}/a/usage.jsonl", "".join(fact(f"r{i}") for i in range(5)) + "junk\n" + fact("r5")[:9])
