@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import pytest
 
-from planes.llm import exact_dedup, ngram_join, substring_dedup
+from planes.llm import exact_dedup, line_dedup, ngram_join, substring_dedup
 from planes.llm.components import components
 from tests.llm.helpers import WORD, corpus, docs_of, union
 
@@ -183,3 +183,36 @@ def test_empty_tables(spark):
     assert ngram_join.jaccard_groups(none).count() == 0
     assert ngram_join.first_of_groups(none).count() == 0
     assert substring_dedup.cut(none).count() == 0
+
+
+def test_line_dedup_equals_all_pairs(spark):
+    rng = random.Random(12)
+    base = [[rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(rng.randrange(1, 16))] for _ in range(25)]
+    rows = []
+    for i in range(60):
+        lines = []
+        for _ in range(rng.randrange(5)):
+            t = list(rng.choice(base))
+            at = rng.randrange(len(t))
+            t[at : at + 1] = rng.choice([[t[at]], [t[at]], ["zz"], [], [t[at], "yy"], [t[at], "yy", "xx"]])
+            lines.append(rng.choice([" ", "  "]).join(t))
+        rows.append((i, "\n".join(lines)))
+    rows += [(100, None), (101, ""), (102, "\n \n"), (None, rows[0][1])]
+    seen, want = [], []
+    for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        kept, total, gone = [], 0, 0
+        for line in (t or "").split("\n"):
+            w = WORD.findall(line)
+            total += bool(w)
+            if w and any(w == o or len(w) >= 8 and len(o) >= 8 and line_dedup.within_one(w, o) for o in seen):
+                gone += 1
+            else:
+                kept.append(line)
+            if w:
+                seen.append(w)
+        want.append((i, total, gone, "\n".join(kept)))
+    got = [tuple(r) for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()]
+    assert sorted(r for r in got if r[0] is not None) == want
+    assert [r[2:] for r in got if r[0] is None] == [(0, rows[0][1])]
+    assert sum(r[2] for r in want) > 40
+    assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
