@@ -51,10 +51,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op10_ngram_join"] = r"""
 with recursive w as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x20\x09-\x0D]+'), x -> x <> '') as ws
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
   from documents
 ), g as (
-  select doc_id, unnest(case when len(ws) >= 3 then list_distinct(list_transform(range(1, len(ws) - 1), i -> array_to_string(ws[i:i + 2], ' ')))
+  select doc_id, unnest(case when len(ws) >= 3 then list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')))
     when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as gram
   from w
 ), n as (select doc_id, count(*) as n from g group by 1),
@@ -87,7 +87,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op9_substring_dedup"] = r"""
 with w as (
-  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as ws from documents
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents
 ), s as (
   select doc_id, unnest(range(1, len(ws) - 11)) as i, ws from w
 ), v as (
