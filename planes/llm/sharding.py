@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 SLOTS = 16384
+# Slots that are dealt before what is dealt is put together.
+RUN = 128
 
 
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -29,39 +31,37 @@ def slot_sizes(rows: DataFrame) -> DataFrame:
 
 
 def slot_map(sizes: DataFrame, shards: int, version: int = 1) -> DataFrame:
-    """version, vslot, shard, bytes, rows: slots dealt out in rounds of ``shards``, largest
-    first, the largest of a round to the shard that has least so far.
+    """version, vslot, shard, bytes, rows: slots dealt out one at a time, largest first, each
+    to the shard that has least bytes so far, the lowest such.
 
     Works on one row that holds the slots, whose number is fixed.
     """
     one = sizes.agg(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "vslot", "rows")).alias("s")).select(
         F.transform(F.array_sort("s"), lambda x: F.struct((-x.less).alias("bytes"), x.vslot.alias("vslot"), x.rows.alias("rows"))).alias("s")
     )
-    rounds = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("s") - 1) / shards).cast("int"))),
-        lambda i: F.slice("s", i * shards + 1, shards),
-    )
-    start = F.struct(
-        F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda k: F.struct(F.lit(0).cast("long").alias("load"), k.alias("shard"))).alias("loads"),
-        F.expr("cast(array() as array<struct<vslot:int,shard:int,bytes:bigint,rows:bigint>>)").alias("dealt"),
+    # Slots come in runs, so that what is dealt is copied once per run and not once per slot.
+    runs = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("s") - 1) / RUN).cast("int"))),
+        lambda i: F.slice("s", i * RUN + 1, RUN),
     )
+    none = F.expr("cast(array() as array<struct<vslot:int,shard:int,bytes:bigint,rows:bigint>>)")
+    loads = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda k: F.struct(F.lit(0).cast("long").alias("load"), k.alias("shard")))
 
-    def deal(acc: Column, round_: Column) -> Column:
-        # A round shorter than the number of shards leaves null slots, which weigh nothing.
-        pairs = F.zip_with(F.array_sort(acc.loads), round_, lambda a, b: F.struct(a.alias("to"), b.alias("slot")))
+    def deal(acc: Column, slot: Column) -> Column:
+        least = F.array_min(acc.loads).shard
         return F.struct(
-            F.transform(pairs, lambda p: F.struct((p.to.load + F.coalesce(p.slot.bytes, F.lit(0))).alias("load"), p.to.shard.alias("shard"))).alias("loads"),
-            F.concat(
-                acc.dealt,
-                F.transform(
-                    F.filter(pairs, lambda p: p.slot.isNotNull()),
-                    lambda p: F.struct(p.slot.vslot.alias("vslot"), p.to.shard.alias("shard"), p.slot.bytes.alias("bytes"), p.slot.rows.alias("rows")),
-                ),
-            ).alias("dealt"),
+            F.transform(acc.loads, lambda x: F.struct((x.load + F.when(x.shard == least, slot.bytes).otherwise(F.lit(0))).alias("load"), x.shard.alias("shard"))).alias("loads"),
+            F.concat(acc.dealt, F.array(F.struct(slot.vslot.alias("vslot"), least.alias("shard"), slot.bytes.alias("bytes"), slot.rows.alias("rows")))).alias("dealt"),
+        )
+
+    def deal_run(acc: Column, run: Column) -> Column:
+        return F.aggregate(
+            run, F.struct(acc.loads.alias("loads"), none.alias("dealt")), deal,
+            lambda new: F.struct(new.loads.alias("loads"), F.concat(acc.dealt, new.dealt).alias("dealt")),
         )
 
-    one = one.select(rounds.alias("r")).select(
-        F.explode(F.aggregate("r", start, deal, lambda acc: acc.dealt)).alias("d")
+    one = one.select(runs.alias("r")).select(
+        F.explode(F.aggregate("r", F.struct(loads.alias("loads"), none.alias("dealt")), deal_run, lambda acc: acc.dealt)).alias("d")
     )
     return one.select(F.lit(version).alias("version"), "d.vslot", "d.shard", "d.bytes", "d.rows")
 

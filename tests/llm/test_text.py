@@ -202,6 +202,18 @@ def test_sharding_obeys_its_law(spark):
     assert sharding.shard(docs_of(spark, [(1, None)])).count() == 1
 
 
+def test_sharding_of_skewed_sizes(spark):
+    """One text is half a shard long, a few are a tenth."""
+    rows = [(i, "x" * (i * 37 % 900)) for i in range(4000)]
+    mean = sum(len(t) + 1 for _, t in rows) // 15
+    rows += [(5000, "y" * (mean // 2))] + [(5001 + i, "z" * (mean // 10)) for i in range(5)]
+    total = [0] * 16
+    for r in sharding.shard(docs_of(spark, rows)).collect():
+        total[r["shard"]] += r["size"]
+    assert sum(total) == sum(len(t) + 1 for _, t in rows)
+    assert max(total) - min(total) <= 0.01 * sum(total) / 16
+
+
 def test_slot_map_grows_only_into_the_new_shard(spark, tmp_path):
     records = sharding.records(docs_of(spark, [(i, "y" * (i % 50)) for i in range(20_000)]))
     one = sharding.slot_map(sharding.slot_sizes(records), 4)
