@@ -227,7 +227,7 @@ def _by_broadcast(docs: DataFrame, bench: DataFrame, window: int, literals: int,
 
 
 def window_table(rows: DataFrame, key: str, window: int, literals: int) -> DataFrame:
-    """code and ``key`` of the distinct template windows of each row."""
+    """code, ``key`` and n, how often it comes, of the distinct template windows of each row."""
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -236,7 +236,7 @@ def window_table(rows: DataFrame, key: str, window: int, literals: int) -> DataF
             row = w.row[starts] if len(starts) else starts
             yield pa.RecordBatch.from_arrays([signed(hashes), batch.column(key).take(pa.array(row))], ["code", key])
 
-    return rows.mapInArrow(run, f"code long, {key} long").distinct()
+    return rows.mapInArrow(run, f"code long, {key} long").groupBy("code", key).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _by_shuffle(docs: DataFrame, bench: DataFrame, window: int, literals: int, cover: int) -> DataFrame:
@@ -244,8 +244,9 @@ def _by_shuffle(docs: DataFrame, bench: DataFrame, window: int, literals: int, c
     checked against the items that enough of its windows have."""
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     theirs = stage(window_table(bench, "item_id", window, literals), "windows")
-    need = theirs.groupBy("item_id").agg(F.count(F.lit(1)).alias("need"))
-    met = window_table(docs, "row", window, literals).join(theirs, "code").groupBy("row", "item_id").agg(F.count(F.lit(1)).alias("got"))
+    # A window counts as often as it comes in the item, as it does where the benchmark is broadcast.
+    need = theirs.groupBy("item_id").agg(F.sum("n").alias("need"))
+    met = window_table(docs, "row", window, literals).drop("n").join(theirs, "code").groupBy("row", "item_id").agg(F.sum("n").alias("got"))
     pairs = stage(met.join(need, "item_id").where(F.col("got") * 100 >= F.col("need") * cover).select("row", "item_id"), "pairs")
 
     def run(batches):

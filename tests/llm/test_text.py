@@ -306,6 +306,15 @@ def test_inconsistent_slots_do_not_count(spark):
     assert decontaminate.contaminated(docs_of(spark, rows), bench).count() == 0
 
 
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
+def test_repeated_windows_count_as_often_as_they_come(spark, limit):
+    part = "one line that is said again and again here\n" * 10
+    rest = " ".join(f"other{chr(97 + i)}" for i in range(26))
+    bench = spark.createDataFrame([(1, part + rest)], "item_id long, text string")
+    got = decontaminate.contaminated(docs_of(spark, [(1, part), (2, rest[:40])]), bench, broadcast_bytes=limit).collect()
+    assert [(r["doc_id"], r["n_windows"], r["item_windows"]) for r in got] == [(1, 83, 109)]
+
+
 def test_decontamination_of_empty_tables(spark):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     assert decontaminate.contaminated(docs_of(spark, []), bench).count() == 0
