@@ -6,19 +6,23 @@ them. Template windows of the documents are hash-joined with those of the benchm
 windows of an item meet a document on one alignment, the aligned words are compared as text
 and the values in the slots must map one to one, the same value always to the same value; so
 a question with other numbers and names is found, and text that merely has slots in the same
-places is not.
+places is not. A capitalised word may be a name or begin a sentence, so windows are made with
+it as a name and as a plain word, and the check of the slots decides.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from planes.llm.common import slices, stage
-from planes.llm.tokens import Words, signed, span_codes, window_codes, words
+from planes.llm.tokens import _BASE, Words, mix, signed, span_codes, words
 
 WINDOW = 8
 # Of a window's tokens at least this many must be plain words.
@@ -34,7 +38,7 @@ UNITS = (
     "hours day days week weeks month months year years percent % degree degrees cent cents dollar dollars euro euros "
     "mph kph kmh km/h m/s hz khz mhz ghz kb mb gb tb watt watts w kw volt volts v"
 ).split()
-NUMBER, NAME, UNIT = (np.uint64(x) for x in (0xA11CE00000000001, 0xA11CE00000000002, 0xA11CE00000000003))
+PLAIN, NUMBER, NAME, UNIT = (np.uint64(x) for x in (0, 0xA11CE00000000001, 0xA11CE00000000002, 0xA11CE00000000003))
 
 _DIGIT, _UPPER, _LOWER, _PUNCT, _STOP = (np.zeros(256, bool) for _ in range(5))
 _DIGIT[48:58] = True
@@ -52,11 +56,22 @@ def _codes_of(texts: list[str]) -> np.ndarray:
 UNIT_CODES = np.sort(_codes_of(UNITS))
 
 
-def template(w: Words) -> np.ndarray:
-    """The template token of each word, as a hash."""
+@dataclass
+class Template:
+    codes: np.ndarray  # a hash of each word's template token, capitalised words as plain ones
+    kinds: np.ndarray  # NUMBER, NAME (any capitalised word), UNIT or PLAIN
+    opens: np.ndarray  # whether a sentence, line or text begins with the word
+
+    def named(self) -> np.ndarray:
+        """Whether a word is a slot whatever it is taken for."""
+        return (self.kinds != PLAIN) & ~(self.opens & (self.kinds == NAME))
+
+
+def template(w: Words) -> Template:
+    """The template token of each word."""
     begin, end = w.begin.copy(), w.end.copy()
     if not len(begin):
-        return w.codes
+        return Template(w.codes, w.codes, np.zeros(0, bool))
     data = w.data
     for _ in range(3):  # a few signs around a word, never the whole word
         begin += (end - begin > 1) & _PUNCT[data[begin]]
@@ -65,7 +80,7 @@ def template(w: Words) -> np.ndarray:
     first = data[begin]
     second = data[np.minimum(begin + 1, len(data) - 1)]
     number = _DIGIT[first]
-    # A capital followed by a small letter is a name where no sentence or line begins.
+    # A capital followed by a small letter; where no sentence or line begins, it is a name.
     capital = (_UPPER[first] | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))) & _LOWER[second] & (end - begin > 1)
     opens = np.ones(len(begin), bool)
     breaks = np.concatenate(([0], np.cumsum(data == 10)))
@@ -76,23 +91,60 @@ def template(w: Words) -> np.ndarray:
     spot = np.minimum(np.searchsorted(UNIT_CODES, codes), len(UNIT_CODES) - 1)
     unit &= UNIT_CODES[spot] == codes
     codes[number] = NUMBER
-    codes[capital & ~opens & ~number] = NAME
     codes[unit] = UNIT
-    return codes
-
-
-def is_slot(codes: np.ndarray) -> np.ndarray:
-    return (codes == NUMBER) | (codes == NAME) | (codes == UNIT)
-
-
-def template_windows(w: Words, codes: np.ndarray, window: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows with enough plain words: first word, hash."""
-    if len(codes) < window:
+    kinds = np.select([unit, number, capital], [UNIT, NUMBER, NAME], PLAIN)
+    return Template(codes, kinds, opens)
+
+
+def _spans(what: np.ndarray, window: int) -> np.ndarray:
+    """How many of ``what`` are in each window."""
+    sums = np.concatenate(([0], np.cumsum(what)))
+    return sums[window:] - sums[:-window]
+
+
+def _totals(codes: np.ndarray, window: int) -> np.ndarray:
+    total = np.zeros(len(codes) - window + 1, np.uint64)
+    for j in range(window):
+        total = total * _BASE + codes[j : len(total) + j]
+    return total
+
+
+def template_windows(w: Words, t: Template, window: int, literals: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows with enough plain words: first word, hash. A window comes once for each way
+    to take its capitalised words for names or plain words that leaves enough of these."""
+    if len(t.codes) < window:
+        return
+    starts = np.arange(len(t.codes) - window + 1)
+    totals = _totals(t.codes, window)
+    spare = _spans((t.kinds == PLAIN) | (t.kinds == NAME), window) - literals
+    ok = (starts + window <= w.row_end[: len(starts)]) & (spare >= 0)
+    yield starts[ok], mix(totals[ok] + np.uint64(window))
+    name = t.kinds == NAME
+    at = np.flatnonzero(ok & (spare > 0) & (_spans(name, window) > 0))
+    where = np.zeros(len(at), np.uint64)
+    for j in range(window):
+        where |= name[at + j].astype(np.uint64) << np.uint64(j)
+    spare = np.minimum(spare[at], np.bitwise_count(where))
+    power = [np.uint64(pow(int(_BASE), window - 1 - j, 1 << 64)) for j in range(window)]
+    for k in range(1, window - literals + 1):
+        left = spare >= k
+        at, where, spare = at[left], where[left], spare[left]
+        for places in combinations(range(window), k):
+            mask = np.uint64(sum(1 << j for j in places))
+            own = at[(where & mask) == mask]
+            if len(own):
+                hashes = totals[own]
+                for j in places:
+                    hashes = hashes + (NAME - t.codes[own + j]) * power[j]
+                yield own, mix(hashes + np.uint64(window))
+
+
+def all_windows(w: Words, t: Template, window: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
+    found = list(template_windows(w, t, window, literals))
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    plain = np.concatenate(([0], np.cumsum(~is_slot(codes))))
-    starts = np.arange(len(codes) - window + 1)
-    ok = (starts + window <= w.row_end[: len(starts)]) & (plain[starts + window] - plain[starts] >= literals)
-    return starts[ok], window_codes(codes, window)[ok]
+    starts, hashes = (np.concatenate(x) for x in zip(*found))
+    return starts, hashes
 
 
 class Index:
@@ -102,15 +154,17 @@ class Index:
         self.window, self.literals = window, literals
         column = pa.array([t for _, t in items], pa.string())
         w = words(column)
-        codes = template(w)
-        self.items = {i: (_strings(w, a, b), codes[a:b]) for (i, _), a, b in zip(items, w.first[:-1].tolist(), w.first[1:].tolist())}
-        starts, hashes = template_windows(w, codes, window, literals)
+        t = template(w)
+        spans = list(zip(w.first[:-1].tolist(), w.first[1:].tolist()))
+        self.items = {i: (_strings(w, a, b), t.kinds[a:b].tolist(), t.named()[a:b].tolist()) for (i, _), (a, b) in zip(items, spans)}
+        # Of an item those windows count that have enough plain words when what begins a sentence is one.
+        self.counted = {i: [s for s in range(b - a - window + 1) if sum(x[2][s : s + window]) <= window - literals] for (i, x), (a, b) in zip(self.items.items(), spans)}
+        starts, hashes = all_windows(w, t, window, literals)
         row = w.row[starts] if len(starts) else starts
         order = np.argsort(hashes, kind="stable")
         self.codes = hashes[order]
         self.item = np.array([i for i, _ in items], np.int64)[row[order]] if len(order) else np.zeros(0, np.int64)
         self.at = (starts - w.first[row])[order] if len(order) else starts
-        self.windows = dict(zip(*(x.tolist() for x in np.unique(self.item, return_counts=True))))
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.codes >> np.uint64(44)).astype(np.int64)] = True
 
@@ -133,52 +187,68 @@ def _bare(word: str) -> str:
     return word.strip("\"'()[]{}<>.,;:!?*#$%&|-_`~").lower() or word
 
 
-def consistent(item: tuple[list[str], np.ndarray], doc_words: list[str], shift: int, window: int, starts: list[int]):
+def consistent(item: tuple[list[str], list, list], doc_words: list[str], doc_kinds: list, shift: int, window: int, starts: list[int]):
     """Of the windows ``starts`` of an item that lie ``shift`` words further on in the
-    document, those whose words agree and whose slots map one to one; and the slots."""
-    theirs, item_codes = item
-    there: dict[tuple, tuple] = {}
-    back: dict[tuple, tuple] = {}
+    document, those whose words agree and whose slots map one to one; and the slots.
+
+    Where values contradict each other, those win that come most often, then equal ones,
+    then the first. Windows that are the same word for word are good in any case."""
+    theirs, kinds, named = item
     wrong: set[int] = set()
-    pairs = set()
+    differs: set[int] = set()
+    slot: dict[int, tuple] = {}
     for k in sorted({k for s in starts for k in range(s, s + window)}):
         a, b = _bare(theirs[k]), _bare(doc_words[k + shift])
-        kind = int(item_codes[k])
-        if kind not in (int(NUMBER), int(NAME), int(UNIT)):
-            if a != b:
-                wrong.add(k)
-            continue
-        if there.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
+        mine, other = kinds[k], doc_kinds[k + shift]
+        if a != b:
+            differs.add(k)
+        if mine == other and mine:
+            slot[k] = (mine, a, b)
+        elif a != b:
             wrong.add(k)
-        else:
-            pairs.add((a, b))
-    good = [s for s in starts if not any(k in wrong for k in range(s, s + window))]
+        elif mine or other:  # a name that is written small in one of the two
+            slot[k] = (mine or other, a, b)
+    count = Counter(slot.values())
+    there: dict[tuple, tuple] = {}
+    back: dict[tuple, tuple] = {}
+    for kind, a, b in sorted(count, key=lambda x: (-count[x], x[1] != x[2])):
+        if (kind, a) not in there and (kind, b) not in back:
+            there[kind, a], back[kind, b] = b, a
+    wrong |= {k for k, (kind, a, b) in slot.items() if there.get((kind, a)) != b}
+    inside = lambda s, what: not what.isdisjoint(range(s, s + window))
+    good = [s for s in starts if not inside(s, wrong) or not inside(s, differs)]
+    pairs = {(a, b) for k, (_, a, b) in slot.items() if k not in wrong and (named[k] or a != b)}
     return good, sorted(pairs)
 
 
-def found_in(index: Index, ids: list, w: Words, codes: np.ndarray, cover: int) -> dict[str, list]:
-    starts, hashes = template_windows(w, codes, index.window, index.literals)
-    here, there = index.meets(hashes)
-    by: dict[tuple, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-    row = w.row[starts[here]] if len(here) else here
-    local = starts[here] - w.first[row] if len(here) else here
-    for r, i, p, q in zip(row.tolist(), index.item[there].tolist(), local.tolist(), index.at[there].tolist()):
-        by[r, i][p - q].append(q)
+def found_in(index: Index, ids: list, w: Words, t: Template, cover: int) -> dict[str, list]:
+    by: dict[tuple, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+    rows = w.row
+    for starts, hashes in template_windows(w, t, index.window, index.literals):
+        here, there = index.meets(hashes)
+        if not len(here):
+            continue
+        row = rows[starts[here]]
+        local = starts[here] - w.first[row]
+        for r, i, p, q in zip(row.tolist(), index.item[there].tolist(), local.tolist(), index.at[there].tolist()):
+            by[r, i][p - q].add(q)
     out: dict[str, list] = {k: [] for k in ("doc_id", "item_id", "n_windows", "item_windows", "first_word", "end_word", "kind", "slots")}
     for (r, i), shifts in sorted(by.items()):
-        total = index.windows[i]
+        counted = set(index.counted[i])
+        total = len(counted)
         if len({q for x in shifts.values() for q in x}) * 100 < cover * total:
             continue
-        doc_words = _strings(w, w.first[r], w.first[r + 1])
+        doc_words, doc_kinds = _strings(w, w.first[r], w.first[r + 1]), t.kinds[w.first[r] : w.first[r + 1]].tolist()
         covered: set[int] = set()
         slots, spans = set(), []
         # Each alignment is a copy or a part of one; parts on several alignments add up.
         for shift, at in sorted(shifts.items()):
-            good, pairs = consistent(index.items[i], doc_words, shift, index.window, sorted(set(at)))
+            good, pairs = consistent(index.items[i], doc_words, doc_kinds, shift, index.window, sorted(at))
             if good:
                 covered.update(good)
                 slots.update(pairs)
                 spans.append((len(good), min(good) + shift, max(good) + shift + index.window))
+        covered &= counted
         if len(covered) * 100 < cover * total or not covered:
             continue
         _, first, end = max(spans, key=lambda x: (x[0], -x[1]))
@@ -227,25 +297,38 @@ def _by_broadcast(docs: DataFrame, bench: DataFrame, window: int, literals: int,
 
 
 def window_table(rows: DataFrame, key: str, window: int, literals: int) -> DataFrame:
-    """code, ``key`` and n, how often it comes, of the distinct template windows of each row."""
+    """code and ``key`` of the distinct template windows of each row, and n, at how many
+    places it has them."""
 
     def run(batches):
         for batch in slices(batches, "text"):
             w = words(batch.column("text"))
-            starts, hashes = template_windows(w, template(w), window, literals)
-            row = w.row[starts] if len(starts) else starts
-            yield pa.RecordBatch.from_arrays([signed(hashes), batch.column(key).take(pa.array(row))], ["code", key])
+            of = w.row
+            for starts, hashes in template_windows(w, template(w), window, literals):
+                yield pa.RecordBatch.from_arrays([signed(hashes), batch.column(key).take(pa.array(of[starts] if len(starts) else starts))], ["code", key])
 
     return rows.mapInArrow(run, f"code long, {key} long").groupBy("code", key).agg(F.count(F.lit(1)).alias("n"))
 
 
+def needs(bench: DataFrame, window: int, literals: int) -> DataFrame:
+    """item_id and need, the number of windows that count, of each item."""
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            index = Index(list(zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist())), window, literals)
+            yield pa.RecordBatch.from_arrays([pa.array(list(index.counted), pa.int64()), pa.array([len(x) for x in index.counted.values()], pa.int64())], ["item_id", "need"])
+
+    return bench.mapInArrow(run, "item_id long, need long")
+
+
 def _by_shuffle(docs: DataFrame, bench: DataFrame, window: int, literals: int, cover: int) -> DataFrame:
     """For benchmarks of any size: windows meet by a shuffle join, then each document is
     checked against the items that enough of its windows have."""
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     theirs = stage(window_table(bench, "item_id", window, literals), "windows")
-    # A window counts as often as it comes in the item, as it does where the benchmark is broadcast.
-    need = theirs.groupBy("item_id").agg(F.sum("n").alias("need"))
+    need = needs(bench, window, literals)
+    # A window counts as often as it comes in the item, as it does where the benchmark is
+    # broadcast; here one met in several ways counts more often, which lets more pairs be checked.
     met = window_table(docs, "row", window, literals).drop("n").join(theirs, "code").groupBy("row", "item_id").agg(F.sum("n").alias("got"))
     pairs = stage(met.join(need, "item_id").where(F.col("got") * 100 >= F.col("need") * cover).select("row", "item_id"), "pairs")
 

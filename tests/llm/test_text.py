@@ -306,6 +306,19 @@ def test_inconsistent_slots_do_not_count(spark):
     assert decontaminate.contaminated(docs_of(spark, rows), bench).count() == 0
 
 
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
+def test_names_that_begin_sentences(spark, limit):
+    item = "Anna has 3 red apples. Bob has 5 more apples than Anna. Carl gives Anna 2 apples. How many apples does Anna have now?"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    other = "Kim has 4 red apples. Max has 7 more apples than Kim. Tom gives Kim 6 apples. How many apples does Kim have now?"
+    wrong = "Kim has 4 red apples. Max has 7 more apples than Tom. Zoe gives Eve 6 apples. How many apples does Ida have now?"
+    rows = [(1, other), (2, "so, " + item.lower()), (3, "it says: " + other), (4, wrong)]
+    got = decontaminate.contaminated(docs_of(spark, rows), bench, broadcast_bytes=limit).collect()
+    assert {(r["doc_id"], r["kind"]) for r in got} == {(1, "reparameterised"), (2, "verbatim"), (3, "reparameterised")}
+    one = next(r for r in got if r["doc_id"] == 1)
+    assert {("anna", "kim"), ("bob", "max")} <= {(s["item_value"], s["doc_value"]) for s in one["slots"]}
+
+
 @pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
 def test_repeated_windows_count_as_often_as_they_come(spark, limit):
     part = "one line that is said again and again here\n" * 10
