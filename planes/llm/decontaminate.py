@@ -7,13 +7,14 @@ windows of an item meet a document on one alignment, the aligned words are compa
 and the values in the slots must map one to one, the same value always to the same value; so
 a question with other numbers and names is found, and text that merely has slots in the same
 places is not. A capitalised word may be a name or begin a sentence, so windows are made with
-it as a name and as a plain word, and the check of the slots decides.
+it as a name and as a plain word, and the check of the slots decides. Windows with too few
+plain words, and items shorter than a window, are met by their words as they are.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -29,6 +30,10 @@ WINDOW = 8
 LITERALS = 5
 # An item is in a document when this part of its windows is, in percent.
 COVER = 50
+# So many words in a row, the same as in the item, make a find whatever part of the item they are.
+VERBATIM = 13
+# Items of fewer words are not searched for: any text has their words.
+SHORTEST = 3
 # Benchmarks of up to so many bytes of text are broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 8 << 20
 # Units of measure and of currency.
@@ -39,6 +44,7 @@ UNITS = (
     "mph kph kmh km/h m/s hz khz mhz ghz kb mb gb tb watt watts w kw volt volts v"
 ).split()
 PLAIN, NUMBER, NAME, UNIT = (np.uint64(x) for x in (0, 0xA11CE00000000001, 0xA11CE00000000002, 0xA11CE00000000003))
+EXACT = np.uint64(0xA11CE00000000005)
 
 _DIGIT, _UPPER, _LOWER, _PUNCT, _STOP = (np.zeros(256, bool) for _ in range(5))
 _DIGIT[48:58] = True
@@ -59,6 +65,7 @@ UNIT_CODES = np.sort(_codes_of(UNITS))
 @dataclass
 class Template:
     codes: np.ndarray  # a hash of each word's template token, capitalised words as plain ones
+    exact: np.ndarray  # a hash of each word
     kinds: np.ndarray  # NUMBER, NAME (any capitalised word), UNIT or PLAIN
     opens: np.ndarray  # whether a sentence, line or text begins with the word
 
@@ -71,7 +78,7 @@ def template(w: Words) -> Template:
     """The template token of each word."""
     begin, end = w.begin.copy(), w.end.copy()
     if not len(begin):
-        return Template(w.codes, w.codes, np.zeros(0, bool))
+        return Template(w.codes, w.codes, w.codes, np.zeros(0, bool))
     data = w.data
     for _ in range(3):  # a few signs around a word, never the whole word
         begin += (end - begin > 1) & _PUNCT[data[begin]]
@@ -90,10 +97,11 @@ def template(w: Words) -> Template:
     unit[1:] = number[:-1]
     spot = np.minimum(np.searchsorted(UNIT_CODES, codes), len(UNIT_CODES) - 1)
     unit &= UNIT_CODES[spot] == codes
+    exact = codes.copy()
     codes[number] = NUMBER
     codes[unit] = UNIT
     kinds = np.select([unit, number, capital], [UNIT, NUMBER, NAME], PLAIN)
-    return Template(codes, kinds, opens)
+    return Template(codes, exact, kinds, opens)
 
 
 def _spans(what: np.ndarray, window: int) -> np.ndarray:
@@ -109,9 +117,21 @@ def _totals(codes: np.ndarray, window: int) -> np.ndarray:
     return total
 
 
-def template_windows(w: Words, t: Template, window: int, literals: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Windows with enough plain words: first word, hash. A window comes once for each way
-    to take its capitalised words for names or plain words that leaves enough of these."""
+def exact_windows(w: Words, t: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """All runs of ``size`` words: first word, hash of the words."""
+    if len(t.codes) < size:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    starts = np.arange(len(t.codes) - size + 1)
+    ok = starts + size <= w.row_end[: len(starts)]
+    return starts[ok], mix(_totals(t.exact, size)[ok] + np.uint64(size) * EXACT)
+
+
+def template_windows(w: Words, t: Template, window: int, literals: int, short: Iterable[int] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """First word and hash of the windows. A window comes once for each way to take its
+    capitalised words for names or plain words that leaves enough plain words; one with too
+    few in any way comes with its words as they are, and so do runs of ``short`` words."""
+    for size in short:
+        yield exact_windows(w, t, size)
     if len(t.codes) < window:
         return
     starts = np.arange(len(t.codes) - window + 1)
@@ -119,6 +139,9 @@ def template_windows(w: Words, t: Template, window: int, literals: int) -> Itera
     spare = _spans((t.kinds == PLAIN) | (t.kinds == NAME), window) - literals
     ok = (starts + window <= w.row_end[: len(starts)]) & (spare >= 0)
     yield starts[ok], mix(totals[ok] + np.uint64(window))
+    poor, hashes = exact_windows(w, t, window)
+    few = spare[poor] < 0
+    yield poor[few], hashes[few]
     name = t.kinds == NAME
     at = np.flatnonzero(ok & (spare > 0) & (_spans(name, window) > 0))
     where = np.zeros(len(at), np.uint64)
@@ -139,12 +162,15 @@ def template_windows(w: Words, t: Template, window: int, literals: int) -> Itera
                 yield own, mix(hashes + np.uint64(window))
 
 
-def all_windows(w: Words, t: Template, window: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-    found = list(template_windows(w, t, window, literals))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    starts, hashes = (np.concatenate(x) for x in zip(*found))
-    return starts, hashes
+def item_windows(w: Words, t: Template, window: int, literals: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """First word and hash of the windows of items; an item shorter than a window is one."""
+    yield np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    size = np.diff(w.first)
+    for n in range(SHORTEST, window):
+        starts, hashes = exact_windows(w, t, n)
+        whole = size[w.row[starts]] == n
+        yield starts[whole], hashes[whole]
+    yield from template_windows(w, t, window, literals)
 
 
 class Index:
@@ -157,9 +183,12 @@ class Index:
         t = template(w)
         spans = list(zip(w.first[:-1].tolist(), w.first[1:].tolist()))
         self.items = {i: (_strings(w, a, b), t.kinds[a:b].tolist(), t.named()[a:b].tolist()) for (i, _), (a, b) in zip(items, spans)}
-        # Of an item those windows count that have enough plain words when what begins a sentence is one.
-        self.counted = {i: [s for s in range(b - a - window + 1) if sum(x[2][s : s + window]) <= window - literals] for (i, x), (a, b) in zip(self.items.items(), spans)}
-        starts, hashes = all_windows(w, t, window, literals)
+        self.size = {i: min(window, b - a) for (i, _), (a, b) in zip(items, spans)}
+        # The windows that copies with other values have too: with enough plain words when what begins a sentence is one.
+        self.rich = {i: {s for s in range(len(x[0]) - window + 1) if sum(x[2][s : s + window]) <= window - literals} for i, x in self.items.items()}
+        self.windows = {i: len(x[0]) - self.size[i] + 1 if len(x[0]) >= SHORTEST else 0 for i, x in self.items.items()}
+        self.short = sorted({n for n in self.size.values() if SHORTEST <= n < window})
+        starts, hashes = (np.concatenate(x) for x in zip(*item_windows(w, t, window, literals)))
         row = w.row[starts] if len(starts) else starts
         order = np.argsort(hashes, kind="stable")
         self.codes = hashes[order]
@@ -168,6 +197,24 @@ class Index:
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.codes >> np.uint64(44)).astype(np.int64)] = True
 
+    def may_find(self, item: int, got: int, cover: int) -> bool:
+        """Whether so many of an item's windows can make a find."""
+        return got * 100 >= cover * self.need(item) or got > max(0, VERBATIM - self.window)
+
+    def need(self, item: int) -> int:
+        return len(self.rich[item]) or self.windows[item]
+
+    def finds(self, item: int, covered: set[int], run: int, cover: int) -> bool:
+        """Whether windows of an item, of them ``run`` in a row the same word for word, are the
+        wanted part of all or of those that other values leave the same, or a long run."""
+        rich = self.rich[item]
+        if not covered:
+            return False
+        return (
+            len(covered) * 100 >= cover * self.windows[item] or bool(rich) and len(covered & rich) * 100 >= cover * len(rich)
+            or run > max(0, VERBATIM - self.window)
+        )
+
     def meets(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of places: in ``hashes``, and of this index, with equal hashes."""
         near = np.flatnonzero(self.bits[(hashes >> np.uint64(44)).astype(np.int64)])
@@ -189,7 +236,8 @@ def _bare(word: str) -> str:
 
 def consistent(item: tuple[list[str], list, list], doc_words: list[str], doc_kinds: list, shift: int, window: int, starts: list[int]):
     """Of the windows ``starts`` of an item that lie ``shift`` words further on in the
-    document, those whose words agree and whose slots map one to one; and the slots.
+    document, those whose words agree and whose slots map one to one; the slots; and how many windows
+    in a row are the same word for word.
 
     Where values contradict each other, those win that come most often, then equal ones,
     then the first. Windows that are the same word for word are good in any case."""
@@ -216,15 +264,20 @@ def consistent(item: tuple[list[str], list, list], doc_words: list[str], doc_kin
             there[kind, a], back[kind, b] = b, a
     wrong |= {k for k, (kind, a, b) in slot.items() if there.get((kind, a)) != b}
     inside = lambda s, what: not what.isdisjoint(range(s, s + window))
-    good = [s for s in starts if not inside(s, wrong) or not inside(s, differs)]
+    same = [s for s in starts if not inside(s, differs)]
+    good = sorted({*same, *(s for s in starts if not inside(s, wrong))})
+    run = longest = 0
+    for n, s in enumerate(same):
+        run = run + 1 if n and s == same[n - 1] + 1 else 1
+        longest = max(longest, run)
     pairs = {(a, b) for k, (_, a, b) in slot.items() if k not in wrong and (named[k] or a != b)}
-    return good, sorted(pairs)
+    return good, sorted(pairs), longest
 
 
 def found_in(index: Index, ids: list, w: Words, t: Template, cover: int) -> dict[str, list]:
     by: dict[tuple, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
     rows = w.row
-    for starts, hashes in template_windows(w, t, index.window, index.literals):
+    for starts, hashes in template_windows(w, t, index.window, index.literals, index.short):
         here, there = index.meets(hashes)
         if not len(here):
             continue
@@ -234,26 +287,25 @@ def found_in(index: Index, ids: list, w: Words, t: Template, cover: int) -> dict
             by[r, i][p - q].add(q)
     out: dict[str, list] = {k: [] for k in ("doc_id", "item_id", "n_windows", "item_windows", "first_word", "end_word", "kind", "slots")}
     for (r, i), shifts in sorted(by.items()):
-        counted = set(index.counted[i])
-        total = len(counted)
-        if len({q for x in shifts.values() for q in x}) * 100 < cover * total:
+        if not index.may_find(i, len({q for x in shifts.values() for q in x}), cover):
             continue
+        size, longest = index.size[i], 0
         doc_words, doc_kinds = _strings(w, w.first[r], w.first[r + 1]), t.kinds[w.first[r] : w.first[r + 1]].tolist()
         covered: set[int] = set()
         slots, spans = set(), []
         # Each alignment is a copy or a part of one; parts on several alignments add up.
         for shift, at in sorted(shifts.items()):
-            good, pairs = consistent(index.items[i], doc_words, doc_kinds, shift, index.window, sorted(at))
+            good, pairs, run = consistent(index.items[i], doc_words, doc_kinds, shift, size, sorted(at))
+            longest = max(longest, run)
             if good:
                 covered.update(good)
                 slots.update(pairs)
-                spans.append((len(good), min(good) + shift, max(good) + shift + index.window))
-        covered &= counted
-        if len(covered) * 100 < cover * total or not covered:
+                spans.append((len(good), min(good) + shift, max(good) + shift + size))
+        if not index.finds(i, covered, longest, cover):
             continue
         _, first, end = max(spans, key=lambda x: (x[0], -x[1]))
         same = all(a == b for a, b in slots)
-        for k, v in zip(out, (ids[r], i, len(covered), total, int(first), int(end), "verbatim" if same else "reparameterised",
+        for k, v in zip(out, (ids[r], i, len(covered), index.windows[i], int(first), int(end), "verbatim" if same else "reparameterised",
                               [{"item_value": a, "doc_value": b} for a, b in sorted(slots)])):
             out[k].append(v)
     return out
@@ -272,8 +324,10 @@ def contaminated(
     item's windows, those found), item_windows, first_word and end_word of the longest find,
     kind (verbatim or reparameterised), slots (values of the item and of the document).
 
-    Null and empty texts and texts shorter than a window hold nothing, and items shorter than
-    a window are not searched for. Rows repeated, also with a null id, are each reported.
+    An item is found when ``cover`` percent of its windows are there, or of those with up to
+    window - literals numbers, names and units, or VERBATIM words in a row. An item shorter
+    than a window is one window of its own words; with under SHORTEST it is not searched for.
+    Null and empty texts hold nothing. Rows repeated, also with a null id, are each reported.
     An empty table on either side gives no rows. Other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -296,41 +350,45 @@ def _by_broadcast(docs: DataFrame, bench: DataFrame, window: int, literals: int,
     return docs.mapInArrow(run, SCHEMA)
 
 
-def window_table(rows: DataFrame, key: str, window: int, literals: int) -> DataFrame:
-    """code and ``key`` of the distinct template windows of each row, and n, at how many
-    places it has them."""
+def window_table(rows: DataFrame, key: str, windows: Callable[[Words, Template], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """code and ``key`` of the distinct windows of each row, and n, at how many places it has them."""
 
     def run(batches):
         for batch in slices(batches, "text"):
             w = words(batch.column("text"))
             of = w.row
-            for starts, hashes in template_windows(w, template(w), window, literals):
+            for starts, hashes in windows(w, template(w)):
                 yield pa.RecordBatch.from_arrays([signed(hashes), batch.column(key).take(pa.array(of[starts] if len(starts) else starts))], ["code", key])
 
     return rows.mapInArrow(run, f"code long, {key} long").groupBy("code", key).agg(F.count(F.lit(1)).alias("n"))
 
 
 def needs(bench: DataFrame, window: int, literals: int) -> DataFrame:
-    """item_id and need, the number of windows that count, of each item."""
+    """item_id, need, the least number of windows that can make a part of an item, and short,
+    the words of an item that is shorter than a window."""
 
     def run(batches):
         for batch in slices(batches, "text"):
-            index = Index(list(zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist())), window, literals)
-            yield pa.RecordBatch.from_arrays([pa.array(list(index.counted), pa.int64()), pa.array([len(x) for x in index.counted.values()], pa.int64())], ["item_id", "need"])
+            items = list(zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()))
+            index = Index(items, window, literals)
+            rows = [(i, index.need(i), index.size[i] if index.size[i] in index.short else None) for i, _ in items]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["item_id", "need", "short"])
 
-    return bench.mapInArrow(run, "item_id long, need long")
+    return bench.mapInArrow(run, "item_id long, need long, short long")
 
 
 def _by_shuffle(docs: DataFrame, bench: DataFrame, window: int, literals: int, cover: int) -> DataFrame:
     """For benchmarks of any size: windows meet by a shuffle join, then each document is
     checked against the items that enough of its windows have."""
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    theirs = stage(window_table(bench, "item_id", window, literals), "windows")
-    need = needs(bench, window, literals)
+    theirs = stage(window_table(bench, "item_id", lambda w, t: item_windows(w, t, window, literals)), "windows")
+    need = stage(needs(bench, window, literals), "needs")
+    short = sorted(r["short"] for r in need.where("short is not null").select("short").distinct().collect())
     # A window counts as often as it comes in the item, as it does where the benchmark is
     # broadcast; here one met in several ways counts more often, which lets more pairs be checked.
-    met = window_table(docs, "row", window, literals).drop("n").join(theirs, "code").groupBy("row", "item_id").agg(F.sum("n").alias("got"))
-    pairs = stage(met.join(need, "item_id").where(F.col("got") * 100 >= F.col("need") * cover).select("row", "item_id"), "pairs")
+    met = window_table(docs, "row", lambda w, t: template_windows(w, t, window, literals, short)).drop("n").join(theirs, "code").groupBy("row", "item_id").agg(F.sum("n").alias("got"))
+    enough = (F.col("got") * 100 >= F.col("need") * cover) | (F.col("got") > max(0, VERBATIM - window))
+    pairs = stage(met.join(need, "item_id").where(enough).select("row", "item_id"), "pairs")
 
     def run(batches):
         for batch in slices(batches, "text"):

@@ -319,6 +319,25 @@ def test_names_that_begin_sentences(spark, limit):
     assert {("anna", "kim"), ("bob", "max")} <= {(s["item_value"], s["doc_value"]) for s in one["slots"]}
 
 
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
+def test_items_full_of_slots_short_items_and_long_runs(spark, limit):
+    plain = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(59))
+    items = [
+        (1, "Add 12, 45, 78, 90 and 33 to 17, 21 and 64, then take 9 from 250."),
+        (2, "On 3 May 1990 Anna Smith paid 250 dollars to John Brown in Paris on 12 June 1991 and 40 dollars to Eve Stone."),
+        (3, "Who wrote the Magic Flute?"), (4, plain),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    part = plain.split(" ")
+    rows = [(i, f"some text before it. {t} and more") for i, t in items[:3]]
+    rows += [(4, " ".join(["x", *part[5:33], "y"])), (5, " ".join(["x", *part[5:18], "y"])), (6, " ".join(["x", *part[5:17], "y"]))]
+    rows += [(7, "Add 13, 45, 79, 90 and 34 to 18, 21 and 65, then take 8 from 251."), (8, "who wrote the other flute?"), (9, "WHO WROTE THE MAGIC FLUTE")]
+    got = decontaminate.contaminated(docs_of(spark, rows), bench, broadcast_bytes=limit).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (9, 3)}
+    assert {r["kind"] for r in got} == {"verbatim"}
+    assert next((r["first_word"], r["end_word"]) for r in got if r["doc_id"] == 3) == (4, 9)
+
+
 @pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
 def test_repeated_windows_count_as_often_as_they_come(spark, limit):
     part = "one line that is said again and again here\n" * 10
