@@ -3,9 +3,10 @@
 Markup is stripped first: a page becomes a list of lines, one per block element, with the
 characters of each that count as text. What lies in elements or classes that are no article
 text (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles)
-leaves empty lines, and where a page marks its article, so does all outside it. The lengths
-are then summed over sliding windows of lines. A surge is where a sum rises over the
-threshold, a dive where it falls back to nothing; the text between the two is kept.
+leaves empty lines. Where a page marks its article, the mark decides: all text in it is kept,
+all outside is dropped. Elsewhere the lengths are summed over sliding windows of lines. A surge
+is where a sum rises over the threshold, a dive where it falls back to nothing; the text between
+the two is kept, and so is the text beside it in the same element.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ BLOCK = frozenset(
     "tfoot thead tr ul".split()
 )
 ASIDE = frozenset("nav header footer aside form head menu dialog button select search fieldset dir label input datalist audio video canvas map".split())
+# Blocks that hold text themselves; the element that holds several of them is their container.
+TEXT = frozenset("address blockquote caption center dd details dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr legend li ol p pre summary ul".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert toolbar tablist".split())
 # Words in a class or id that tell what is no article text.
@@ -75,11 +78,16 @@ def is_aside(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(html: str) -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
-    """Lines of text with the characters that count, of the page and of its articles alone."""
+def lines_of(html: str) -> tuple[list[tuple[str, int]], list[tuple[str, int]], list[int]]:
+    """Lines of text with the characters that count, of the page and of its articles alone;
+    and the number of each line's container in the page, 0 the body, -1 for empty lines."""
     page: list[tuple[str, int]] = []
     article: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, no article text, marks an article
+    containers: list[int] = []
+    heads: set[int] = set()  # lines that are headings
+    linked_items: list[int] = []  # lines that are items of a link and nothing else
+    stack: list[tuple[str, bool, bool, int]] = []  # name, no article text, marks an article, number
+    number = 0
     aside = marked = links = headings = 0
     text: list[str] = []
     linked = 0
@@ -92,18 +100,24 @@ def lines_of(html: str) -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
             if line:
                 # A list item that is a link and nothing else belongs to a menu.
                 counts = 0 if linked >= len(line) and any(x[0] == "li" for x in stack) else len(line)
+                if headings:
+                    heads.add(len(page))
+                if not counts:
+                    linked_items.append(len(page))
                 page.append((line, counts))
                 article.append((line, counts) if marked else ("", 0))
+                containers.append(next((n for name, _, _, n in reversed(stack) if name in BLOCK and name not in TEXT), 0))
         linked = 0
 
     def gap() -> None:
         page.extend([("", 0)] * GAP)
         article.extend([("", 0)] * GAP)
+        containers.extend([-1] * GAP)
 
     def pop(to: int) -> None:
         nonlocal aside, marked, links, headings
         while len(stack) > to:
-            name, was_aside, was_marked = stack.pop()
+            name, was_aside, was_marked, _ = stack.pop()
             aside -= was_aside
             marked -= was_marked
             links -= name == "a"
@@ -149,7 +163,8 @@ def lines_of(html: str) -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
                     break
         no_text = is_aside(name, m[3], marked > 0)
         is_marked = name in ("article", "main") and not no_text
-        stack.append((name, no_text, is_marked))
+        number += 1
+        stack.append((name, no_text, is_marked, 0 if name in ("html", "body") else number))
         if no_text and not aside:
             gap()
         aside += no_text
@@ -157,11 +172,22 @@ def lines_of(html: str) -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
         links += name == "a"
         headings += name in HEADING
     end_line()
-    return page, article
-
-
-def between(lines: list[tuple[str, int]], surge: int, window: int = WINDOW) -> list[str]:
-    """The lines from each surge to the next dive, without empty ones and those that don't count."""
+    # Links one below the other amid an article's text, or below a heading, are its own list.
+    counting = [i for i, (_, n) in enumerate(article) if n]
+    headed = -1
+    for i in linked_items:
+        if headed != i - 1:
+            headed = i if i - 1 in heads and article[i - 1][1] else -1
+        elif headed >= 0:
+            headed = i
+        if article[i][0] and counting and counting[0] < i and (i < counting[-1] or headed == i):
+            article[i] = (article[i][0], len(article[i][0]))
+    return page, article, containers
+
+
+def between(lines: list[tuple[str, int]], surge: int, containers: list[int] | None = None, window: int = WINDOW) -> list[str]:
+    """The lines from each surge to the next dive, without empty ones and those that don't
+    count; and lines that share a container with these, in the body those between two of them."""
     sums = [0] * (len(lines) + window)
     run = 0
     for i in range(len(lines) - 1, -1, -1):
@@ -171,16 +197,23 @@ def between(lines: list[tuple[str, int]], surge: int, window: int = WINDOW) -> l
     for i, (line, counts) in enumerate(lines):
         inside = sums[i] > 0 if inside else sums[i] > surge
         if inside and counts:
-            kept.append(line)
-    return kept
+            kept.append(i)
+    if containers and kept:
+        surged, own = set(kept), {containers[i] for i in kept} - {0}
+        body = [i for i in kept if containers[i] == 0]
+        kept = [
+            i for i, (_, counts) in enumerate(lines)
+            if counts and (i in surged or containers[i] in own or body and containers[i] == 0 and body[0] < i < body[-1])
+        ]
+    return [lines[i][0] for i in kept]
 
 
 def main_text(html: str) -> str:
-    page, article = lines_of(html)
+    page, article, containers = lines_of(html)
     if any(n for _, n in article):
         blocks = between(article, 0)
     else:  # a page whose text never surges is kept as it is
-        blocks = between(page, SURGE) or between(page, 0)
+        blocks = between(page, SURGE, containers) or between(page, 0)
     return "\n\n".join(blocks)
 
 

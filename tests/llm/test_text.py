@@ -90,6 +90,21 @@ def test_long_and_broken_pages_end():
     assert html_text.main_text("<article>" + "<p>word" * 20_000).count("\n\n") == 19_999
 
 
+def test_text_beside_removed_elements_and_lists_of_links():
+    long = "long text " * 12
+    text = lambda *parts: "\n\n".join(x.strip() for x in parts)
+    ad = "<div class='ad'>buy</div>"
+    page = f"<div class='top'><p>Tiny</p></div>{ad}<div><p>{long}</p>{ad}<p>Short one.</p>{ad}<p>{long}</p>{ad}<p>The end.</p></div><div><p>Small print</p></div>"
+    assert html_text.main_text(page) == text(long, "Short one.", long, "The end.")
+    page = f"<body><p>Tiny</p>{ad}<p>{long}</p>{ad}<p>Short one.</p>{ad}<p>{long}</p>{ad}<p>Small print</p></body>"
+    assert html_text.main_text(page) == text(long, "Short one.", long)
+    links = "<ul><li><a href=1>First source</a></li><li><a href=2>Second source</a></li></ul>"
+    both = ("First source", "Second source")
+    assert html_text.main_text(f"<article><p>x</p>{links}<p>y</p></article>") == text("x", *both, "y")
+    assert html_text.main_text(f"<article><p>x</p><h2>Sources</h2>{links}</article>") == text("x", "Sources", *both)
+    assert html_text.main_text(f"<article>{links}<p>x</p>{links}</article>") == "x"
+
+
 @pytest.fixture(scope="module")
 def model():
     return pieces.Unigram(pieces.read_model())
