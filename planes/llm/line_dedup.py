@@ -6,6 +6,9 @@ are equal with the gap in the same place differ in one word there, and a variant
 whole line has one word more; pairs so met are verified word by word. A line goes if an
 earlier one, by document and place, equals it or is near it.
 
+In short lines a word is too much: they are near when one character left out of either or of
+both, in a word or between two, makes them equal. Their variants lack one character each.
+
 Only distinct lines emit variants, and of these only such as have their first or last half
 in common with another, as near lines must.
 """
@@ -19,8 +22,10 @@ from pyspark.sql import DataFrame, functions as F
 from planes.llm.common import WHITE, slices, stage
 from planes.llm.tokens import _BASE, _INVERSE, _power, mix, signed, words
 
-# Shorter lines are dropped only for equal ones.
+# Lines of fewer words are near by characters and not by words.
 LEAST_WORDS = 8
+# A line must have so many characters, and the word so many, for one character to be a slip.
+LEAST_CHARS, LEAST_IN_WORD = 10, 4
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -92,6 +97,41 @@ def near_pairs(lines: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "doc_id long, line_no int").distinct()
 
 
+def short_variants(line: str) -> list[str]:
+    """The line, and the line without each character that can be a slip: of a word without
+    digits that is not a mere label, or a space."""
+    found = {line: None}
+    if len(line) >= LEAST_CHARS:
+        at = 0
+        for word in line.split(" "):
+            if len(word) >= LEAST_IN_WORD and not any(c.isdigit() for c in word):
+                found.update((line[:k] + line[k + 1 :], None) for k in range(at, at + len(word)))
+            at += len(word) + 1
+            if at <= len(line):
+                found[line[: at - 1] + line[at:]] = None
+    return list(found)
+
+
+def near_short(lines: DataFrame) -> DataFrame:
+    """doc_id, line_no of short lines (doc_id, line_no, line) that are near an earlier one of
+    them. All lines that have a variant in common are near each other, so the first tells."""
+
+    def run(batches):
+        for batch in slices(batches, "line", 1 << 20):
+            found = [short_variants(x) for x in batch.column("line").to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x for one in found for x in one], pa.string()), batch.column("doc_id").take(row), batch.column("line_no").take(row)],
+                ["variant", "doc_id", "line_no"],
+            )
+
+    place = F.struct("doc_id", "line_no")
+    variants = lines.mapInArrow(run, "variant string, doc_id long, line_no int")
+    variants = variants.select(F.xxhash64("variant").alias("h1"), F.xxhash64(F.lit(1), "variant").alias("h2"), place.alias("late"))
+    first = variants.groupBy("h1", "h2").agg(F.min("late").alias("early"), F.max("late").alias("most")).where("early < most").drop("most")
+    return variants.join(stage(first, "firsts"), ["h1", "h2"]).where("early < late").select("late.doc_id", "late.line_no").distinct()
+
+
 def within_one(a: list[str], b: list[str]) -> bool:
     """Whether at most one word replaced, put in or left out makes one of the other."""
     if len(a) > len(b):
@@ -116,7 +156,9 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "
         lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "line")).alias("f")).select("h1", "h2", "f.doc_id", "f.line_no", "f.line"),
         "lines", large=True,
     )
-    near = stage(near_pairs(first.where(F.size(F.split("line", " ")) >= least_words).select("doc_id", "line_no", "line")), "near", large=True)
+    long = F.size(F.split("line", " ")) >= least_words
+    near = near_pairs(first.where(long).select("doc_id", "line_no", "line"))
+    near = stage(near.unionByName(near_short(first.where(~long).select("doc_id", "line_no", "line"))), "near", large=True)
     known = first.select("h1", "h2", F.col("doc_id").alias("d"), F.col("line_no").alias("n")).join(
         near.select(F.col("doc_id").alias("d"), F.col("line_no").alias("n"), F.lit(True).alias("near")), ["d", "n"], "left"
     )

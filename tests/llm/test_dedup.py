@@ -216,3 +216,12 @@ def test_line_dedup_equals_all_pairs(spark):
     assert [r[2:] for r in got if r[0] is None] == [(0, rows[0][1])]
     assert sum(r[2] for r in want) > 40
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
+
+
+def test_short_lines_are_near_by_characters(spark):
+    lines = [
+        "All rights reserved", "All right reserved", "All rihgts reserved", "Allrights reserved", "All rights removed",
+        "Released under the MIT License", "Released under the MIT Licence", "Chapter 1 of 9", "Chapter 2 of 9", "Option A here", "Option B here",
+    ]
+    rows = [(r["doc_id"], r["n_removed"]) for r in line_dedup.dedup_lines(docs_of(spark, list(enumerate(lines)))).collect()]
+    assert sorted(i for i, n in rows if n) == [1, 2, 3, 6]
