@@ -404,6 +404,12 @@ def _by_shuffle(docs: DataFrame, bench: DataFrame, window: int, literals: int, c
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item was found, all columns kept."""
-    found = stage(contaminated(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("__found")).distinct(), "found")
-    return docs.join(found, docs["doc_id"].cast("long") == F.col("__found"), "left_anti")
+    """The rows of ``docs`` in which no benchmark item was found, all columns kept.
+
+    Rows go by their id and text: one with a null id goes if its text holds an item, and a
+    clean one that shares its id with another stays. Of repeated rows all go or all stay."""
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    # What is searched are the rows under a key of their own, and not under their ids.
+    keyed = docs.select(F.xxhash64(F.col("doc_id").cast("long"), digest).alias("doc_id"), "text")
+    found = stage(contaminated(keyed, benchmark).select(F.col("doc_id").alias("__found")).distinct(), "found")
+    return docs.join(found, F.xxhash64(docs["doc_id"].cast("long"), F.sha2(F.coalesce(docs["text"], F.lit("")), 256)) == F.col("__found"), "left_anti")

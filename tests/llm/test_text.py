@@ -314,6 +314,14 @@ def test_benchmark_items_are_found(spark, limit):
     assert clean.count() == len(rows) - len({r["doc_id"] for r in got})
 
 
+def test_rows_with_null_and_shared_ids_go_by_their_text(spark):
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    item = BENCH[1][1]
+    rows = [(None, item), (None, "clean"), (None, None), (1, item), (1, "clean as well"), (2, "clean"), (2, None)]
+    left = decontaminate.without_contaminated(docs_of(spark, rows), bench).select("doc_id", "text").collect()
+    assert sorted(map(tuple, left), key=str) == sorted((r for r in rows if r[1] != item), key=str)
+
+
 def test_inconsistent_slots_do_not_count(spark):
     """The same value in the item stands for different ones here, so it is no re-parameterised copy."""
     rows = [(1, "if Tom has 8 coins and Ida has 5 coins more than Max then how many coins does Zoe have in all")]
