@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from planes.llm import chat, decontaminate, exact_dedup, html_text, line_dedup, ngram_join, pieces, quality, sharding, substring_dedup
+from planes.llm import chat, decontaminate, exact_dedup, html_text, line_dedup, mixing, ngram_join, phrases, pieces, quality, sharding, spelling, substring_dedup
 from planes.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,194 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants_in_texts(table(spark, sf_dir, "documents"), letters=r"A-Za-z\u00C0-\u00FF", least_length=7, slip_every=31)
+
+
+# DuckDB has no CRC-32: its table of 256 entries follows from the polynomial.
+ORACLE["op11_spelling"] = r"""
+with recursive poly as (
+  select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b)) as t
+), runs as (
+  select coalesce(cast(doc_id as varchar), '') || ':' as id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) as run from documents
+), hexed as (
+  select run, hex(encode(id || run)) as x from runs where length(run) >= 7
+), coded as (
+  select run, xor(list_reduce(list_transform(range(1, length(x), 2), lambda i: cast('0x' || x[i:i + 1] as bigint)),
+    lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8), 4294967295::bigint), 4294967295::bigint) as h from hexed, poly
+), said as (
+  select case when h % 31 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word from coded
+), v as (
+  select word, count(*) as n from said where length(word) >= 7 group by 1 having count(*) >= 2
+), gaps as (
+  select word, n, unnest(range(1, length(word) + 1)) as p from v
+), cut as (
+  select word, n, p, left(word, p - 1) || substr(word, p + 1) as rest from gaps
+), near as (
+  select a.word, a.n, b.word as other, b.n as other_n from cut a join cut b on a.rest = b.rest and a.p = b.p and a.word <> b.word
+  union
+  select a.word, a.n, b.word, b.n from cut a join v b on b.word = a.rest
+  union
+  select b.word, b.n, a.word, a.n from cut a join v b on b.word = a.rest
+), ranked as (
+  select word, n, other, other_n, count(*) over (partition by word) as n_near,
+    row_number() over (partition by word order by other_n desc, other) as r from near
+), forms as (
+  select v.word, v.n, coalesce(n_near, 0) as n_near, case when other_n >= 10 * v.n then other end as form,
+    case when other_n >= 10 * v.n then other_n end as form_n
+  from v left join ranked r on r.word = v.word and r.r = 1
+), roots as (
+  select word, word as root, 0 as far from forms
+  union
+  select r.word, f.form, far + 1 from roots r join forms f on f.word = r.root where f.form is not null
+)
+select word, form, arg_max(root, far) as root, n, n_near, form_n
+from forms join roots using (word) group by word, form, n, n_near, form_n
+"""
+
+
+@query
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the order in which the mix first comes to them; position is null where it never does."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.by_position(mixed.select(
+        "doc_id", "size", "source_size", "target",
+        F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c.words).alias("taken"),
+        F.get("copies", F.lit(0)).position.alias("position"),
+    ), "position", "doc_id")
+
+
+ORACLE["op12_mixing"] = r"""
+with d as (
+  select doc_id, source, cast(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) as bigint) as size from documents
+), s as (
+  select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as i from d group by source
+), k as (
+  select *, i % 3 as kind, [5, 2, 1][i % 3 + 1] as w, sum(source_size) over () as total from s
+), filled as (
+  select *, coalesce(sum(2 * source_size) over up, 0) as before, sum(w) over () - coalesce(sum(w) over up, 0) as open from k
+  window up as (order by source_size / w, i rows between unbounded preceding and 1 preceding)
+), cut as (
+  select word, n, p, left(word, p - 1) || substr(word, p + 1) as rest from gaps
+), near as (
+  select a.word, a.n, b.word as other, b.n as other_n from cut a join cut b on a.rest = b.rest and a.p = b.p and a.word <> b.word
+  union
+  select a.word, a.n, b.word, b.n from cut a join v b on b.word = a.rest
+  union
+  select b.word, b.n, a.word, a.n from cut a join v b on b.word = a.rest
+), ranked as (
+  select word, n, other, other_n, count(*) over (partition by word) as n_near,
+    row_number() over (partition by word order by other_n desc, other) as r from near
+), forms as (
+  select v.word, v.n, coalesce(n_near, 0) as n_near, case when other_n >= 10 * v.n then other end as form,
+    case when other_n >= 10 * v.n then other_n end as form_n
+  from v left join ranked r on r.word = v.word and r.r = 1
+), roots as (
+  select word, word as root, 0 as far from forms
+  union
+  select r.word, f.form, far + 1 from roots r join forms f on f.word = r.root where f.form is not null
+)
+select word, form, arg_max(root, far) as root, n, n_near, form_n
+from forms join roots using (word) group by word, form, n, n_near, form_n
+"""
+
+
+@query
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the order in which the mix first comes to them; position is null where it never does."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.by_position(mixed.select(
+        "doc_id", "size", "source_size", "target",
+        F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c.words).alias("taken"),
+        F.get("copies", F.lit(0)).position.alias("position"),
+    ), "position", "doc_id")
+
+
+ORACLE["op12_mixing"] = r"""
+with d as (
+  select doc_id, source, cast(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) as bigint) as size from documents
+), s as (
+  select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as i from d group by source
+), k as (
+  select *, i % 3 as kind, [5, 2, 1][i % 3 + 1] as w, sum(source_size) over () as total from s
+), filled as (
+  select *, coalesce(sum(2 * source_size) over up, 0) as before, sum(w) over () - coalesce(sum(w) over up, 0) as open from k
+  window up as (order by source_size / w, i rows between unbounded preceding and 1 preceding)
+), level as (  -- the first that does not: nothing before it is left to reshare
+  select coalesce(arg_min(before, open order by source_size / w, i), 0) as x from filled where false
+), cut as (
+  -- the sources that do not become full when all before them have
+  select min(before) as f, max(open) as w from filled where 2 * source_size * 2 * open > w * (3 * total - 2 * before)
+), t as (
+  select k.*, coalesce(2 * source_size * 2 * cut.w <= k.w * (3 * total - 2 * cut.f), true) as capped,
+    3 * total - 2 * cut.f as rest, 2 * cut.w as parts from k, cut
+), u as (
+  select *, case when capped then cast(2 * source_size as double) else cast(w * rest as double) / cast(parts as double) end as target from t
+), sums as (
+  select coalesce(sum(g) filter (kind = 0), 0) as g0, coalesce(sum(g) filter (kind = 1), 0) as g1, coalesce(sum(g) filter (kind = 2), 0) as g2
+  from (
+    select kind, cast(coalesce(sum(2 * source_size) filter (capped), 0) as double)
+      + cast(coalesce(sum(w) filter (not capped), 0) * max(rest) as double) / cast(max(parts) as double) as g from u group by kind
+  )
+), placed as (
+  select doc_id, size, source_size, target, kind, cast(floor(target + 0.5) as bigint) as stop,
+    sum(size) over (partition by u.source order by md5(coalesce(cast(doc_id as varchar), '')), doc_id, size rows unbounded preceding) - size as start
+  from d join u on d.source is not distinct from u.source
+), taken as (
+  select *, greatest(0, least(size, stop - start)) as first, greatest(0, least(size, stop - start - source_size)) as second,
+    least(1.0::double, cast(start as double) / target) as part from placed
+), timed as (
+  select *, case kind when 0 then 2.0::double * (part * 2.0::double) / (3.0::double + sqrt(9.0::double + -4.0::double * (part * 2.0::double)))
+    when 1 then 2.0::double * (part * 2.0::double) / (2.0::double + sqrt(4.0::double + 0.0::double * (part * 2.0::double)))
+    else 2.0::double * (part * 2.0::double) / (1.0::double + sqrt(1.0::double + 4.0::double * (part * 2.0::double))) end as time from taken
+)
+select doc_id, size, source_size, target, cast(first + second as bigint) as taken,
+  case when first > 0 then cast(floor(
+    g0 * ((3.0::double * time + -1.0::double * time * time) / 2.0::double)
+    + g1 * ((2.0::double * time + 0.0::double * time * time) / 2.0::double)
+    + g2 * ((1.0::double * time + 1.0::double * time * time) / 2.0::double)) as bigint) end as position
+from timed, sums
+"""
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_phrases"] = r"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), w as (
+  select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from p
+), g as (
+  select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) as phrase
+  from w, (select unnest(range(1, 6)) as k) where len(ws) >= k
+), n as (
+  select lang, count(*) as n from g where k = 1 group by 1
+), f as (
+  select lang, k, phrase, count(*) as f from g group by all having count(*) >= 100
+), cuts as (
+  select lang, k, phrase, f as a, string_split(phrase, ' ') as ws, unnest(range(1, k)) as cut from f where k > 1
+), s as (
+  select c.lang, c.k, c.phrase, a, cut, x.f as l, y.f as r, n,
+    cast((1000::hugeint * a * n) // (x.f::hugeint * y.f) as bigint) as score
+  from cuts c join n using (lang)
+  join f x on x.lang = c.lang and x.phrase = array_to_string(ws[:cut], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(ws[cut + 1:], ' ')
+), best as (
+  select * from s qualify row_number() over (partition by lang, phrase order by score, cut) = 1
+), inner_parts as (
+  select lang, f, string_split(phrase, ' ') as ws, k, unnest(range(2, k)) as size from f where k > 2
+), inside as (
+  select lang, f, array_to_string(ws[i:i + size - 1], ' ') as phrase from (select *, unnest(range(1, k - size + 2)) as i from inner_parts)
+), kept as (
+  select * from best b where not exists (select 1 from inside i where i.lang = b.lang and i.phrase = b.phrase and 100 * i.f >= 100 * b.a)
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from kept qualify rank <= 2000
+"""
