@@ -11,8 +11,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from planes.functions.jsonl import LINE_SPACE
+
 # Bytes per range and thus per task, and the bytes a line must stay below.
 RANGE_BYTES = 8 << 20
+# Bytes a frame of a capture must stay below.
+FRAME_BYTES = 32 << 20
 # Bytes of ranges one task should read.
 TASK_BYTES = 128 << 20
 # Step in which the start of a line is looked for before its range.
@@ -88,3 +92,55 @@ def lines_ending_in(path: str, start: int, end: int, max_line: int) -> Iterator[
         if not too_long and stop - cut < max_line:
             yield back + cut, data[cut:stop]
         cut, too_long = stop + 1, False
+
+
+def frame_batch(city: str, path: str, start: int, end: int, max_frame: int) -> pa.RecordBatch:
+    frames = list(frames_closing_in(path, start, end, max_frame))
+    return pa.RecordBatch.from_pydict({
+        "city": pa.array([city] * len(frames), pa.string()),
+        "path": pa.array([path] * len(frames), pa.string()),
+        "offset": pa.array([offset for offset, _, _ in frames], pa.int64()),
+        "frame_end": pa.array([stop for _, stop, _ in frames], pa.int64()),
+        "line": pa.array([line for _, _, line in frames], pa.string()),
+    })
+
+
+def frames_closing_in(path: str, start: int, end: int, max_frame: int) -> Iterator[tuple[int, int, str]]:
+    """(offset, end, data) of each frame whose closing blank line ends in the byte range.
+
+    The rules are those of ``sse.frames``: the last ``data:`` line of a frame wins, an empty one
+    clears it, other lines do not count and lines may end in CR. A frame that began before the
+    range is read from its start. One of ``max_frame`` bytes or more is skipped.
+    """
+    with open(path, "rb") as file:
+        data, back = b"", start
+        # Back to the end of the blank line before the range.
+        while back > 0 and start - back < max_frame and _after_blank(data) is None:
+            back = max(0, back - BACK_BYTES)
+            file.seek(back)
+            data = file.read(start - back)
+        begin = _after_blank(data)
+        file.seek(start)
+        inside = len(data)
+        data += file.read(end - start)
+    # Without a blank line nor the start of the file, the first frame is too long to be read.
+    whole = begin is not None or back == 0
+    at = first = begin or 0
+    found = ""
+    while (stop := data.find(b"\n", at)) >= 0:
+        line = data[at:stop].removesuffix(b"\r")
+        if back + at == 0:
+            line = line.removeprefix(b"\xef\xbb\xbf")
+        at = stop + 1
+        if not line:
+            if stop >= inside and found and whole and at - first < max_frame:
+                yield back + first, back + at, found
+            first, found, whole = at, "", True
+        elif line.startswith(b"data:"):
+            found = line[5:].decode("utf-8", "replace").strip(LINE_SPACE)
+
+
+def _after_blank(data: bytes) -> int | None:
+    """Where what follows the last blank line of ``data`` begins."""
+    found = [at + len(blank) for blank in (b"\n\n", b"\n\r\n") if (at := data.rfind(blank)) >= 0]
+    return max(found, default=None)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from threading import Thread
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,7 +26,7 @@ from planes.sources.outbox import store_epoch
 from planes.sources.sse import frames
 from planes.sources.state import StateTable
 from planes.sources.textlines import stream_lines, with_line_id
-from planes.streaming.tail_source import TailSource
+from planes.streaming.tail_source import FrameSource, TailSource
 
 USAGE_SECONDS, USAGE_FLOOR = 5, 1
 EVENT_SECONDS, EVENT_FLOOR = 5, 1
@@ -72,8 +73,40 @@ def _start(
 ) -> StreamingQuery:
     # Names of running queries must differ, also between two fleets.
     writer = stream.writeStream.queryName(f"{name} {folders.root}")
-    writer = writer.option("checkpointLocation", folders.checkpoint)
-    return writer.foreachBatch(step).trigger(**trigger).start()
+    writer = writer.option("checkpointLocation", folders.checkpoint).foreachBatch(step)
+    if trigger != DRAIN:
+        return writer.trigger(**trigger).start()
+    query = writer.trigger(processingTime="0 seconds").start()
+    Thread(target=_stop_when_drained, args=(query,), daemon=True).start()
+    return query
+
+
+# Batch after batch until there is nothing left to read. Spark's own trigger for that asks a
+# Python source once, which is one batch where its batches are limited.
+DRAIN = {"drain": True}
+
+
+def _once(growing: bool, options: dict[str, str]) -> dict:
+    return DRAIN if growing and "maxBytesPerTrigger" in options else {"availableNow": True}
+
+
+def _stop_when_drained(query: StreamingQuery) -> None:
+    try:
+        query.processAllAvailable()
+    except Exception:  # noqa: BLE001 - the query keeps its error for those who wait for it
+        return
+    query.stop()
+
+
+def _growing(
+    spark: SparkSession, source: type, path: str, pattern: str, folders: Folders, options: dict[str, str], once: bool
+) -> DataFrame:
+    spark.dataSource.register(source)
+    reader = spark.readStream.format(source.name()).option("progressPath", f"{folders.root}/progress.json")
+    # Options of the caller come last; a limited pass reads what is there when it starts.
+    limited = once and "maxBytesPerTrigger" in options
+    reader = reader.option("sourcePattern", pattern).option("untilNow", str(limited).lower())
+    return reader.options(**options).load(path)
 
 
 def start_usage(
@@ -92,13 +125,11 @@ def start_usage(
     """Ledgers to numbered batches in the outbox.
 
     ``growing`` tails files that are still written to; otherwise ``path`` holds finished
-    segments. ``options`` are the source's, such as ``maxBytesPerTrigger``.
+    segments. ``options`` are the source's, such as ``maxBytesPerTrigger`` of growing files.
     """
     options = options or {}
     if growing:
-        spark.dataSource.register(TailSource)
-        reader = spark.readStream.format("planes_tail").options(**options)
-        lines = reader.option("sourcePattern", source_pattern).load(path)
+        lines = _growing(spark, TailSource, path, source_pattern, folders, options, once)
     else:
         lines = stream_lines(spark, path, **options).withColumn(
             "source_id", F.regexp_extract("file_path", source_pattern, 1)
@@ -130,7 +161,7 @@ def start_usage(
         )
         state.write(merged, epoch)
 
-    trigger = {"availableNow": True} if once else cadence(seconds, USAGE_SECONDS, USAGE_FLOOR)
+    trigger = _once(growing, options) if once else cadence(seconds, USAGE_SECONDS, USAGE_FLOOR)
     return _start(lines, folders, "usage", step, trigger)
 
 
@@ -142,23 +173,33 @@ def start_events(
     redaction: Redaction,
     *,
     city_pattern: str = r"([^/]+)/[^/]*$",
+    growing: bool = False,
     batch_max: int = events.BATCH_MAX,
     seconds: float | None = None,
     once: bool = False,
     deliver: Deliver | None = None,
     options: dict[str, str] | None = None,
 ) -> StreamingQuery:
-    """Finished stream captures to redacted batches in the outbox."""
-    lines = stream_lines(spark, path, **(options or {})).withColumn(
-        "city", F.regexp_extract("file_path", city_pattern, 1)
-    )
+    """Stream captures to redacted batches in the outbox.
+
+    ``growing`` tails captures that are still written to: a frame comes once its blank line is
+    there. Otherwise ``path`` holds finished captures. ``options`` are the source's.
+    """
+    options = options or {}
+    if growing:
+        stream = _growing(spark, FrameSource, path, city_pattern, folders, options, once)
+    else:
+        stream = stream_lines(spark, path, **options).withColumn(
+            "city", F.regexp_extract("file_path", city_pattern, 1)
+        )
 
     def step(micro_batch: DataFrame, epoch: int) -> None:
         state = StateTable(micro_batch.sparkSession, folders.state, EVENT_CURSOR)
         cursors = state.read(before=epoch)
-        framed = frames(
-            with_line_id(micro_batch), ["city", "file_path"], ["line_id"], chunk=["block_start"]
-        )
+        framed = micro_batch
+        if not growing:
+            lines = with_line_id(micro_batch)
+            framed = frames(lines, ["city", "file_path"], ["line_id"], chunk=["block_start"])
         decoded = events.decode_events(
             framed.select("city", "line"), content=redaction.emit_content
         )
@@ -174,8 +215,8 @@ def start_events(
         newest = cursors.unionByName(seen).groupBy("city").agg(F.max("seq").alias("seq"))
         state.write(newest, epoch)
 
-    trigger = {"availableNow": True} if once else cadence(seconds, EVENT_SECONDS, EVENT_FLOOR)
-    return _start(lines, folders, "events", step, trigger)
+    trigger = _once(growing, options) if once else cadence(seconds, EVENT_SECONDS, EVENT_FLOOR)
+    return _start(stream, folders, "events", step, trigger)
 
 
 def start_recall(

@@ -1,0 +1,172 @@
+"""Files that are still growing: frames across cuts, and batches with a limit."""
+
+import json
+import os
+import random
+
+import pytest
+
+from planes.operators.events import Redaction, TypePolicy
+from planes.sources.outbox import read_outbox
+from planes.sources.ranges import frames_closing_in
+from planes.sources.sse import read_sse
+from planes.streaming.axes import Folders, start_events, start_usage
+from planes.streaming.tail_source import GrowingReader, shares
+from tests.test_streaming import capture, cursor, finish, sent
+from tests.test_usage import fact, write
+
+POLICY = TypePolicy.from_mapping({"bead.closed": (True, True)})
+REDACTION = Redaction(salt="0123456789abcdef", export_ref=True)
+
+
+def event(seq, kind="bead.closed"):
+    return {"seq": seq, "type": kind, "ts": "2026-06-21T10:00:00Z", "actor": "alice@x", "subject": f"mc-{seq}"}
+
+
+def odd_capture(rng, n=40):
+    """Frames of all kinds; ends of lines and of frames vary."""
+    out = b"\xef\xbb\xbf" if rng.random() < 0.5 else b""
+    for i in range(n):
+        end = rng.choice([b"\n", b"\r\n"])
+        lines = [b"data: {\"n\":%d}" % i, b"data:", b": note", b"id: 7", b"data:\ttwo \xc3\xa0 \xc2\xa0", b"data: caf\xc3\xa9\r", b"event: data: x", b"\r"]
+        out += b"".join(x + end for x in rng.choices(lines, k=rng.randint(0, 4))) + end * rng.choice([1, 1, 1, 2, 3])
+    return out + rng.choice([b"", b"data: open", b"data: open\n", b"\r"])
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_frames_do_not_depend_on_where_ranges_are_cut(spark, tmp_path, monkeypatch, seed):
+    monkeypatch.setattr("planes.sources.ranges.BACK_BYTES", 16)
+    rng = random.Random(seed)
+    data = odd_capture(rng)
+    path = f"{tmp_path}/c1/0.sse"
+    os.makedirs(os.path.dirname(path))
+    with open(path, "wb") as file:
+        file.write(data)
+    whole = list(frames_closing_in(path, 0, len(data), 1 << 20))
+    for span in (1, 7, 64):
+        parts = [x for at in range(0, len(data), span) for x in frames_closing_in(path, at, min(at + span, len(data)), 1 << 20)]
+        assert parts == whole
+    assert all(data[a - 1 : a] in (b"\n", b"") and data[b - 1 : b] == b"\n" for a, b, _ in whole)
+    if seed < 3:
+        by_spark = read_sse(spark, f"{tmp_path}/c1", r"([^/]+)/[^/]*$").orderBy("frame_no")
+        assert [r.line for r in by_spark.collect()] == [line for _, _, line in whole]
+
+
+def test_frames_too_long_are_skipped(tmp_path):
+    path = write(f"{tmp_path}/0.sse", "data: a\n\ndata: " + "b" * 500 + "\n\ndata: c\n\n")
+    size = os.path.getsize(path)
+    for span in (1, 13, size):
+        got = [x for at in range(0, size, span) for _, _, x in frames_closing_in(path, at, min(at + span, size), 100)]
+        assert got == ["a", "c"]
+
+
+def exported(spark, folders):
+    rows = read_outbox(spark, folders.outbox, ["city", "first_seq"]).collect()
+    return sorted((r.city, e.seq, e.ref) for r in rows for e in r.events)
+
+
+def test_a_growing_capture_gives_the_frames_of_one_read(spark, tmp_path):
+    rng = random.Random(4)
+    text = ": hi\r\n\r\n" + capture([event(i, rng.choice(["bead.closed", "bead.closed", "mail.sent"])) for i in range(1, 40)])
+    text = text.replace("\n\n", "\r\n\r\n", 5) + "data: {"
+    cuts = sorted(rng.sample(range(1, len(text)), 9)) + [len(text)]
+    folders, once = Folders(str(tmp_path / "w")), Folders(str(tmp_path / "o"))
+    go = lambda where, path, **how: finish(start_events(spark, path, where, POLICY, REDACTION, once=True, **how))
+    at, path = 0, f"{tmp_path}/sse/c1/live.sse"
+    for cut in cuts:  # each of these is a restart
+        write(path, text[at:cut], "a")
+        at = cut
+        go(folders, f"{tmp_path}/sse/*/live.sse", growing=True, options={"rangeBytes": "50"})
+    write(f"{tmp_path}/done/c1/0.sse", text)
+    go(once, f"{tmp_path}/done/*/")
+    assert exported(spark, folders) == exported(spark, once) != []
+    # The open frame comes when it is closed, also if nothing else does.
+    write(path, json.dumps(event(77))[1:] + "\n", "a")
+    go(folders, f"{tmp_path}/sse/*/live.sse", growing=True)
+    write(path, "\n", "a")
+    go(folders, f"{tmp_path}/sse/*/live.sse", growing=True)
+    assert exported(spark, folders) == [*exported(spark, once), ("c1", 77, "mc-77")]
+
+
+def test_shares_are_even_and_whole():
+    assert shares({"a": 5, "b": 100, "c": 100}, 65) == {"a": 5, "b": 30, "c": 30}
+    assert shares({"a": 5, "b": 7}, 100) == {"a": 5, "b": 7}
+    assert shares({x: 50 for x in "abc"}, 2) == {"a": 1, "b": 1, "c": 1}
+    assert shares({}, 10) == {}
+
+
+def reader(tmp_path, budget):
+    return GrowingReader({"path": f"{tmp_path}/f/*/*", "maxBytesPerTrigger": str(budget), "progressPath": f"{tmp_path}/p/progress.json"})
+
+
+def test_batches_are_limited_fair_and_go_on_after_a_restart(tmp_path):
+    write(f"{tmp_path}/f/big/0", "x" * 5000)
+    write(f"{tmp_path}/f/big/1", "x" * 300)
+    for name in "ab":
+        write(f"{tmp_path}/f/{name}/0", "y" * 450)
+    start, read, batches = {}, {}, []
+    while True:
+        end = reader(tmp_path, 600).latestOffset()  # a new reader each time, as after a restart
+        if end == start:
+            break
+        parts = reader(tmp_path, 600).partitions(start, end)
+        batches.append({p.path.split("/")[-2] for p in parts})
+        assert 0 < sum(p.end - p.start for p in parts) <= 600
+        for p in parts:
+            assert p.start == read.get(p.path, 0)
+            read[p.path] = p.end
+        start = json.loads(json.dumps(end))
+    assert {os.path.relpath(p, tmp_path): n for p, n in read.items()} == {"f/big/0": 5000, "f/big/1": 300, "f/a/0": 450, "f/b/0": 450}
+    assert batches[0] == batches[1] == {"a", "b", "big"}
+    # What is replaced is read from the top, within the limit; a lost file is no silent reread.
+    os.remove(f"{tmp_path}/f/big/0")
+    write(f"{tmp_path}/f/big/new", "z" * 700)
+    os.rename(f"{tmp_path}/f/big/new", f"{tmp_path}/f/big/0")
+    end = reader(tmp_path, 600).latestOffset()
+    assert [(p.start, p.end) for p in reader(tmp_path, 600).partitions(start, end)] == [(0, 600)]
+    os.remove(f"{tmp_path}/p/progress.json")
+    with pytest.raises(ValueError, match="older than the checkpoint"):
+        reader(tmp_path, 600).partitions(end, reader(tmp_path, 600).latestOffset())
+    with pytest.raises(ValueError, match="progressPath"):
+        GrowingReader({"path": "x", "maxBytesPerTrigger": "5"})
+
+
+def test_a_backlog_is_drained_in_small_batches_with_the_same_seqs(spark, tmp_path):
+    rng = random.Random(1)
+    for name, n in (("a", 120), ("b", 15), ("c", 0)):
+        lines = "".join(rng.choice([fact(f"{name}{i}"), fact(f"{name}{i}"), "junk\n"]) for i in range(n))
+        write(f"{tmp_path}/fleet/{name}/usage.jsonl", lines)
+        write(f"{tmp_path}/fleet/{name}/usage2.jsonl", fact(f"{name}-last") + '{"open":')
+    whole, limited = Folders(str(tmp_path / "o")), Folders(str(tmp_path / "w"))
+    pattern = f"{tmp_path}/fleet/*/usage*.jsonl"
+    finish(start_usage(spark, pattern, whole, growing=True, once=True))
+    query = start_usage(spark, pattern, limited, growing=True, once=True, options={"maxBytesPerTrigger": "3000", "rangeBytes": "1000"})
+    finish(query)
+    assert query.exception() is None
+    assert sent(spark, limited) == sent(spark, whole) and cursor(spark, limited) == cursor(spark, whole)
+    epochs = spark.read.parquet(limited.outbox).select("epoch").distinct().count()
+    size = sum(os.path.getsize(f"{tmp_path}/fleet/{x}/usage{y}.jsonl") for x in "abc" for y in ("", "2"))
+    assert epochs >= size // 3000 > 3
+    # Once more: nothing new, and what is appended goes on.
+    write(f"{tmp_path}/fleet/b/usage2.jsonl", "1}\n" + fact("b-more"), "a")
+    for _ in range(2):
+        finish(start_usage(spark, pattern, limited, growing=True, once=True, options={"maxBytesPerTrigger": "8000"}))
+    assert [run for source, _, run in sent(spark, limited) if source == "b"][-2:] == ["b-last", "b-more"]
+
+
+def test_a_refused_batch_of_a_limited_pass_is_replayed(spark, tmp_path):
+    folders = Folders(str(tmp_path / "w"))
+    write(f"{tmp_path}/fleet/a/usage.jsonl", "".join(fact(f"r{i}") for i in range(30)))
+    tried = []
+
+    def refuse(batches):
+        tried.append(sorted(f.seq for r in batches.collect() for f in r.facts))
+        if len(tried) == 2:
+            raise RuntimeError("not accepted")
+
+    go = lambda: start_usage(spark, f"{tmp_path}/fleet/*/usage.jsonl", folders, growing=True, once=True, deliver=refuse, options={"maxBytesPerTrigger": "2000"})
+    with pytest.raises(Exception, match="not accepted"):
+        finish(go())
+    finish(go())
+    assert tried[1] == tried[2] and [seq for seqs in tried[:1] + tried[2:] for seq in seqs] == list(range(1, 31))
+    assert sent(spark, folders) == [("a", i + 1, f"r{i}") for i in range(30)]
