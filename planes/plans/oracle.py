@@ -23,6 +23,7 @@ HELPERS = {
           e.run_id, e.session_id, e.step_id, e.payload
         from v_events e join policy p on e.type = p.type""",
     "event_n": "select *, row_number() over (partition by city order by seq) - 1 as no from envelopes",
+    "with_actor": "select n.*, e.actor from envelopes n join v_events e on n.city = e.city and n.seq = e.seq",
     "payloads": """
         select city, seq, run_id, session_id, step_id, type,
           payload::json->'bead'->>'title' as title,
@@ -199,6 +200,19 @@ BODIES = {
           from parts group by 1
         union all select variant, 'forbidden_text', count(*) filter (where contains(value, '@corp.example')
           or contains(value, 'slug ')) from parts group by 1""",
+    "event_leak_search": """
+        with vals as (
+          select 'redacted' as variant, * exclude (actor) from with_actor
+          union all
+          select 'planted', * exclude (actor) replace (case when seq % 97 = 0 then concat('run-', split_part(actor, '@', 1), '-7')
+            when seq % 97 = 1 then concat(actor, '/', run_id) else run_id end as run_id) from with_actor),
+        parts as (
+          select variant, unnest(['city', 'type', 'actor_hash', 'ref', 'run_id', 'session_id', 'step_id']) as field,
+            unnest([city, type, actor_hash, ref, run_id, session_id, step_id]) as value from vals),
+        uses as (select variant, field, value, count(*) as uses from parts where value <> '' group by all),
+        names as (select actor as name from v_events union select split_part(actor, '@', 1) from v_events)
+        select variant, field, name, count(*) as n_values, cast(sum(uses) as bigint) as uses, min(value) as example
+        from uses join names on contains(value, name) where name <> '' group by all""",
     "city_list": r"""
         select c_custkey, string_agg(name, '|' order by spot) as cities
         from (select c_custkey, name, min(spot) as spot

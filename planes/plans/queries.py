@@ -13,7 +13,7 @@ from planes.functions.text import (
     fingerprint,
     starts_with_key_block,
 )
-from planes.operators import consumer, events, recall, usage
+from planes.operators import consumer, events, leaks, recall, usage
 from planes.operators.numbering import with_span_chunk
 from planes.plans.views import (
     POLICY,
@@ -269,6 +269,25 @@ def event_leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def event_leak_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw actors and their names before the @, anywhere in what leaves."""
+    raw = view(spark, sf_dir, "v_events")
+    names = raw.select(F.explode(F.array("actor", F.substring_index("actor", "@", 1))).alias("name"))
+    clean = _envelopes(spark, sf_dir)
+    # Some run ids that have a name in them, to see it found.
+    actors = raw.select("city", "seq", "actor")
+    planted = clean.join(actors, ["city", "seq"]).withColumn(
+        "run_id",
+        F.when(F.col("seq") % 97 == 0, F.concat(F.lit("run-"), F.substring_index("actor", "@", 1), F.lit("-7")))
+        .when(F.col("seq") % 97 == 1, F.concat("actor", F.lit("/"), "run_id"))
+        .otherwise(F.col("run_id")),
+    )
+    return leaks.search_envelopes(clean, names).withColumn("variant", F.lit("redacted")).unionByName(
+        leaks.search_envelopes(planted.drop("actor"), names).withColumn("variant", F.lit("planted"))
+    )
+
+
 @query
 def city_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = view(spark, sf_dir, "v_city_config")

@@ -1,0 +1,54 @@
+"""Names found inside other text, against a search of every text for every name."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from planes.operators import events, leaks
+from tests.test_events import FOUR, POLICY, REDACTION, decode
+
+
+def plain(texts, names):
+    out = {}
+    for name in {n for n in names if n}:
+        hits = [(v, n) for v, n in texts if v and name in v]
+        if hits:
+            out[name] = (len(hits), sum(n for _, n in hits), min(v for v, _ in hits))
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5])
+def test_search_equals_looking_for_every_name_in_every_text(spark, size):
+    rng = random.Random(size)
+    word = lambda n: "".join(rng.choice("abé-😀") for _ in range(n))
+    texts = {word(rng.randint(0, 14)): rng.randint(1, 5) for _ in range(150)} | {"run-bob-7": 3, "aaaaaaa": 1}
+    names = [word(rng.randint(0, 6)) for _ in range(150)] + ["bob", "bo", "b", "BOB", "aaa", "aaaaaaaa", "", None, "bob"]
+    got = leaks.search(
+        spark.createDataFrame(list(texts.items()), "value string, uses long").repartition(3),
+        spark.createDataFrame([(n,) for n in names], "name string"), size=size,
+    )
+    assert {r["name"]: (r["n_values"], r["uses"], r["example"]) for r in got.collect()} == plain(texts.items(), names)
+
+
+def test_nothing_is_found_in_nothing(spark):
+    texts, names = spark.createDataFrame([("bob", 1)], "value string, uses long"), spark.createDataFrame([("bob",)], "name string")
+    assert leaks.search(texts.limit(0), names).count() == leaks.search(texts, names.limit(0)).count() == 0
+
+
+def test_an_actor_inside_a_run_id_is_found(spark):
+    names = spark.createDataFrame([("alice@x",), ("bob",), ("carol",)], "name string")
+    clean = events.redact(decode(spark, FOUR), POLICY, REDACTION)
+    assert leaks.search_envelopes(clean, names).count() == 0
+    leaky = clean.withColumn("run_id", F.lit("run-bob-7")).withColumn("title", F.lit("by alice@x"))
+    got = {(r["name"], r["field"], r["n_values"], r["uses"], r["example"]) for r in leaks.search_envelopes(leaky, names).collect()}
+    n = clean.count()
+    assert got == {("bob", "run_id", 1, n, "run-bob-7"), ("alice@x", "title", 1, n, "by alice@x")}
+
+
+def test_a_piece_that_all_texts_have_does_not_bring_all_names(spark):
+    """Names wait at their rarest piece, so the common one joins nothing."""
+    texts = spark.range(3000).select(F.concat(F.lit("user"), F.col("id") + 100000).alias("value"), F.lit(1).cast("long").alias("uses"))
+    names = spark.range(0, 3000, 7).select(F.concat(F.lit("user"), F.col("id") + 100000).alias("name"))
+    found = leaks.search(texts, names)
+    assert found.count() == 429 and found.agg(F.max("n_values")).first()[0] == 1
