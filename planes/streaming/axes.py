@@ -26,6 +26,7 @@ from planes.sources.outbox import store_epoch
 from planes.sources.sse import frames
 from planes.sources.state import StateTable
 from planes.sources.textlines import stream_lines, with_line_id
+from planes.streaming import replays
 from planes.streaming.tail_source import FrameSource, TailSource
 
 USAGE_SECONDS, USAGE_FLOOR = 5, 1
@@ -273,6 +274,38 @@ def start_ingest(
     return _start(batches, folders, "ingest", step, trigger)
 
 
+def start_ingest_unordered(
+    spark: SparkSession,
+    outbox: str,
+    folders: Folders,
+    *,
+    span_bits: int = replays.SPAN_BITS,
+    expiry_days: float = replays.EXPIRY_DAYS,
+    seconds: float | None = None,
+    once: bool = False,
+    options: dict[str, str] | None = None,
+) -> StreamingQuery:
+    """``start_ingest`` for batches that may arrive in any order: each fact once, by state that
+    the query keeps itself. An epoch costs what it touches and rewrites no table."""
+    schema = spark.read.parquet(outbox).schema
+    batches = spark.readStream.schema(schema).options(**(options or {})).parquet(outbox)
+    checked = consumer.validate(consumer.facts_of(batches)).filter(F.col("verdict") == "accepted")
+    spend = consumer.spend_rows(replays.first_of_each(checked.drop("verdict"), span_bits, expiry_days))
+
+    def step(micro_batch: DataFrame, epoch: int) -> None:
+        folders.stored(micro_batch, "outbox", epoch)
+
+    trigger = {"availableNow": True} if once else cadence(seconds, USAGE_SECONDS, USAGE_FLOOR)
+    before = {key: spark.conf.get(key, None) for key in replays.SETTINGS}
+    for key, value in replays.SETTINGS.items():
+        spark.conf.set(key, value)
+    try:
+        return _start(spend, folders, "ingest", step, trigger)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 Starter = Callable[[], StreamingQuery]
 
 
