@@ -22,6 +22,8 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _STEP = np.uint64(0xD1342543DE82EF95)
 IS_WHITE = np.zeros(256, bool)
 IS_WHITE[[0x20, 9, 10, 11, 12, 13]] = True
+# Bytes that are hashed at once, which bounds the arrays made for it whatever a text's length.
+BLOCK = 1 << 18
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -33,8 +35,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
+    """The first ``n`` powers; the table kept for them is the longest asked for."""
     if len(_powers[kind]) < n:
-        row = np.full(max(n, 5 << 20), base, np.uint64)
+        row = np.full(1 << max(12, (n - 1).bit_length()), base, np.uint64)
         row[0] = 1
         _powers[kind] = np.multiply.accumulate(row)
     return _powers[kind][:n]
@@ -85,13 +88,33 @@ def words(column: pa.Array, lower: bool = False) -> Words:
 
 
 def span_codes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A hash of each span of bytes."""
-    n = len(data)
-    codes = (_LOWER_CODES if lower else _BYTE_CODES)[data]
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(codes * _power("up", _BASE, n), out=sums[1:])
-    spans = (sums[end] - sums[begin]) * _power("down", _INVERSE, n + 1)[begin]
-    return mix(spans + (end - begin).astype(np.uint64) * _STEP)
+    """A hash of each span of bytes. Spans come in order and do not overlap."""
+    codes, sums = _LOWER_CODES if lower else _BYTE_CODES, np.zeros(len(begin), np.uint64)
+    size = end - begin
+    # Spans go together whose bytes fit one block; a longer one goes alone, block by block.
+    a = 0
+    while a < len(begin):
+        b = max(int(np.searchsorted(end, begin[a] + BLOCK, "right")), a + 1)
+        if size[a] > BLOCK:
+            sums[a], b = _long_sum(codes, data[begin[a] : end[a]]), a + 1
+        else:
+            sums[a:b] = _block_sums(codes, data[begin[a] : end[b - 1]], begin[a:b] - begin[a], size[a:b])
+        a = b
+    return mix(sums + size.astype(np.uint64) * _STEP)
+
+
+def _block_sums(codes: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(codes[data] * _power("up", _BASE, BLOCK)[: len(data)], out=sums[1:])
+    return (sums[begin + size] - sums[begin]) * _power("down", _INVERSE, BLOCK)[begin]
+
+
+def _long_sum(codes: np.ndarray, data: np.ndarray) -> np.uint64:
+    powers, total = _power("up", _BASE, BLOCK), 0
+    for at in range(0, len(data), BLOCK):
+        part = codes[data[at : at + BLOCK]]
+        total += int((part * powers[: len(part)]).sum()) * pow(int(_BASE), at, 2**64)
+    return np.uint64(total % 2**64)
 
 
 def window_codes(codes: np.ndarray, n: int) -> np.ndarray:
