@@ -148,7 +148,12 @@ def with_prior(files: DataFrame, state: DataFrame) -> DataFrame:
 
 def needs_read(files: DataFrame, state: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Files whose content must be read: new or touched, and within the cap."""
-    return with_prior(files, state).filter(~_untouched()).filter(F.col("size") <= max_bytes)
+    return unread(with_prior(files, state), max_bytes)
+
+
+def unread(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``needs_read`` of files that carry their ``prior`` record."""
+    return files.filter(~_untouched()).filter(F.col("size") <= max_bytes)
 
 
 def _untouched() -> Column:
@@ -210,15 +215,27 @@ def scan_stats(settled: DataFrame, keys: Sequence[str] = ("source_id",)) -> Data
     )
 
 
+def _known() -> Column:
+    return F.col("action").isin("refresh", "skip")
+
+
+def _done() -> Column:
+    return F.col("outcome").isin("sent", "rejected")
+
+
+def changing(settled: DataFrame) -> DataFrame:
+    """The files whose record a pass changes."""
+    return settled.filter(_known() | _done())
+
+
 def next_state(state: DataFrame, settled: DataFrame) -> DataFrame:
     """State after a pass.
 
     Content already known keeps its record with the new time and size; sent and rejected
     files replace theirs; failures change nothing; files that vanished are kept.
     """
-    known = F.col("action").isin("refresh", "skip")
-    done = F.col("outcome").isin("sent", "rejected")
-    changed = settled.filter(known | done).select(
+    known, done = _known(), _done()
+    changed = changing(settled).select(
         "path",
         F.when(done, F.col("outcome")).alias("new_status"),
         F.when(done, F.col("sha256_hex")).alias("new_sha256"),

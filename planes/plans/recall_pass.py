@@ -38,13 +38,12 @@ class RecallPass:
         Names and places are checked first, then time and size against the state. Only
         files that pass both are opened, once. Planning an epoch again gives the same.
         """
-        state = self.state.read(before=epoch)
         if "root_no" not in listing.columns:
             listing = listing.withColumn("root_no", F.lit(0))
         # Filtered before anything is shuffled. A path counts once, under the first root
-        # it passes for; being grouped by path, it meets its state without a new shuffle.
+        # it passes for. Only the listing is shuffled to meet the state, which stays in place.
         found = recall.dedupe_paths(recall.candidates(listing, strict=self.strict))
-        to_read = recall.needs_read(found, state, self.max_bytes).select(
+        to_read = recall.unread(self.state.lookup(found, before=epoch), self.max_bytes).select(
             *LISTING,
             F.col("prior.status").alias("prior_status"),
             F.col("prior.sha256_hex").alias("prior_sha256"),
@@ -81,5 +80,8 @@ class RecallPass:
         settled = recall.settle(decided, receipts)
         stats = recall.scan_stats(settled, [])
         if any(stats.first()):
-            self.state.write(recall.next_state(self.state.read(before=epoch), settled), epoch)
+            # Only the records that change are read and written.
+            changing = recall.changing(settled)
+            old = self.state.lookup(changing.select("path"), before=epoch).filter("prior is not null")
+            self.state.upsert(recall.next_state(old.select("path", "prior.*"), changing), epoch)
         return stats

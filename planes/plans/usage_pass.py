@@ -89,12 +89,12 @@ class UsagePass:
             passed, numbered, read("outbox"), receipts, position="line_end", cursors=ranges
         ).select("source_id", F.col("last_position").alias("_offset"), F.col("next_seq").alias("_next"))
         at_file = moved.join(ranges.select("source_id", F.col("file_id").alias("_file")), "source_id")
-        old = self.state.read(before=epoch)
-        merged = old.join(at_file, "source_id", "full_outer").select(
+        old = self.state.lookup(at_file, before=epoch, name="_old")
+        changed = old.select(
             "source_id",
-            F.coalesce("_offset", "offset").alias("offset"),
-            F.coalesce("_next", "next_seq").alias("next_seq"),
-            F.coalesce("_file", "file_id").alias("file_id"),
+            F.coalesce("_offset", "_old.offset").alias("offset"),
+            F.coalesce("_next", "_old.next_seq").alias("next_seq"),
+            F.coalesce("_file", "_old.file_id").alias("file_id"),
         )
-        self.state.write(merged, epoch)
+        self.state.upsert(changed, epoch)
         return self.state.read()

@@ -154,13 +154,13 @@ def start_usage(
         if deliver is not None:
             deliver(written)
         ends = written.groupBy("source_id").agg((F.max("last_seq") + 1).alias("_next"))
-        merged = cursors.join(ends, "source_id", "full_outer").select(
+        moved = state.lookup(ends, before=epoch, name="_old").select(
             "source_id",
-            F.coalesce("offset", F.lit(0)).alias("offset"),
-            F.coalesce("_next", "next_seq").alias("next_seq"),
-            F.coalesce("file_id", F.lit(0)).alias("file_id"),
+            F.coalesce("_old.offset", F.lit(0)).alias("offset"),
+            F.col("_next").alias("next_seq"),
+            F.coalesce("_old.file_id", F.lit(0)).alias("file_id"),
         )
-        state.write(merged, epoch)
+        state.upsert(moved, epoch)
 
     trigger = _once(growing, options) if once else cadence(seconds, USAGE_SECONDS, USAGE_FLOOR)
     return _start(lines, folders, "usage", step, trigger)
@@ -213,8 +213,10 @@ def start_events(
         if deliver is not None:
             deliver(written)
         seen = envelopes.groupBy("city").agg(F.max("seq").alias("seq"))
-        newest = cursors.unionByName(seen).groupBy("city").agg(F.max("seq").alias("seq"))
-        state.write(newest, epoch)
+        newest = state.lookup(seen, before=epoch, name="_old").select(
+            "city", F.greatest("seq", "_old.seq").alias("seq")
+        )
+        state.upsert(newest, epoch)
 
     trigger = _once(growing, options) if once else cadence(seconds, EVENT_SECONDS, EVENT_FLOOR)
     return _start(stream, folders, "events", step, trigger)
@@ -268,7 +270,8 @@ def start_ingest(
         checked = consumer.validate(consumer.facts_of(micro_batch))
         fresh = consumer.drop_replays(checked.filter(F.col("verdict") == "accepted"), marks)
         spend = folders.stored(consumer.spend_rows(fresh.drop("verdict")), "outbox", epoch)
-        state.write(consumer.next_high_water(marks, spend), epoch)
+        # Rows above a mark are all that is left, so what is new is higher than it.
+        state.upsert(consumer.next_high_water(marks.limit(0), spend), epoch)
 
     trigger = {"availableNow": True} if once else cadence(seconds, USAGE_SECONDS, USAGE_FLOOR)
     return _start(batches, folders, "ingest", step, trigger)
