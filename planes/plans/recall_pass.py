@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from planes.functions.text import starts_with_key_block
 from planes.operators import recall
 from planes.schemas import SNAPSHOT_STATE
 from planes.sources.files import read_content
-from planes.sources.outbox import epoch_path, store_epoch
+from planes.sources.outbox import read_epoch, store_epoch
 from planes.sources.state import StateTable
 
 # Content bytes one task should read; a single file may exceed it.
@@ -48,10 +48,10 @@ class RecallPass:
             F.col("prior.status").alias("prior_status"),
             F.col("prior.sha256_hex").alias("prior_sha256"),
         )
-        planned = store_epoch(to_read, self.root, "to_read", epoch)
-
-        total = planned.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-        tasks = max(total // TASK_BYTES + 1, self.spark.sparkContext.defaultParallelism)
+        # Bytes to open are added up while the rows are written, not by a job of their own.
+        seen = Observation()
+        planned = store_epoch(to_read, self.root, "to_read", epoch, observe=seen, metrics=[F.sum("size").alias("bytes")])
+        tasks = max((seen.get["bytes"] or 0) // TASK_BYTES + 1, self.spark.sparkContext.defaultParallelism)
         spread = planned.repartition(int(tasks), "path")
         opened = read_content(spread, max_bytes=self.max_bytes)
         opened = opened.filter(~starts_with_key_block(F.col("head"))).drop("head")
@@ -76,7 +76,7 @@ class RecallPass:
 
         A pass that sent, failed and skipped nothing leaves the state as it was.
         """
-        decided = self.spark.read.parquet(epoch_path(self.root, "outbox", epoch)).drop("content")
+        decided = read_epoch(self.spark, self.root, "outbox", epoch).drop("content")
         settled = recall.settle(decided, receipts)
         stats = recall.scan_stats(settled, [])
         if any(stats.first()):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from planes.operators import usage
 from planes.operators.numbering import BYTE_CHUNK_BITS
 from planes.schemas import USAGE_CURSOR
-from planes.sources.outbox import epoch_path, store_epoch
+from planes.sources.outbox import read_epoch, store_epoch
 from planes.sources.ranges import read_ranges
 from planes.sources.state import StateTable
 
@@ -74,7 +74,7 @@ class UsagePass:
 
         ``receipts`` has source_id, batch_no, http_status.
         """
-        read = lambda kind: self.spark.read.parquet(epoch_path(self.root, kind, epoch))
+        read = lambda kind: read_epoch(self.spark, self.root, kind, epoch)
         ranges, lines, facts, numbered = (read(k) for k in ("ranges", "lines", "facts", "numbered"))
         # A source with more facts than one pass takes stops at the last one taken.
         per_source = facts.groupBy("source_id").agg(F.count(F.lit(1)).alias("_all"))
