@@ -3,10 +3,10 @@
 Markup is stripped first: a page becomes a list of lines, one per block element, with the
 characters of each that count as text. What lies in elements or classes that are no article
 text (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles)
-leaves empty lines. Where a page marks its article, the mark decides: all text in it is kept,
-all outside is dropped. Elsewhere the lengths are summed over sliding windows of lines. A surge
-is where a sum rises over the threshold, a dive where it falls back to nothing; the text between
-the two is kept, and so is the text beside it in the same element.
+leaves empty lines. The lengths are summed over sliding windows of lines. A surge is where a
+sum rises over the threshold, a dive where it falls back to nothing; the text between the two is
+kept, and so is the text beside it in the same element. Where a page marks its article, that is
+the element of all text in it.
 """
 
 from __future__ import annotations
@@ -21,9 +21,10 @@ from planes.llm.common import slices
 
 # Lines in a window.
 WINDOW = 3
-# Characters in a window that make a surge where the page marks no article.
+# Characters in a window that make a surge, or half of the page's fullest window if that is less.
 SURGE = 80
-# Empty lines that an element leaves that is no article text: more than a window.
+# Empty lines that an element leaves that is no article text, and around a marked article: more
+# than a window.
 GAP = WINDOW + 1
 
 # Elements of HTML.
@@ -48,6 +49,19 @@ NAMES = frozenset(
     "disqus replies reply respond discussion search searchbox toolbar pagination pager paging skip toc outbrain taboola "
     "disclaimer paywall form".split()
 )
+# Of these, words that are also what an article may be about: alone they tell, and beside
+# words of place and form, but not beside others.
+AMBIGUOUS = frozenset(
+    "alert comment copyright disclaimer discussion form header menu menus navigation notice notices promotion rail related reply "
+    "respond search share sharing skip social".split()
+)
+# Words of place and form in a class or id.
+PLAIN = frozenset(
+    "site page main top bottom left right upper lower inner outer box bar block container wrapper wrap list section area links link "
+    "items item panel unit slot row col column group id btn button buttons text title js module mobile desktop sticky fixed float "
+    "primary secondary global local content body first last small large big user reader readers contact email mail input field "
+    "fields icon icons strip card cards tile tiles trail zone region holder frame layer entry post posts story article articles".split()
+)
 # Beside one of these words, "header" is an article's own.
 OWN = frozenset("article post entry content story main".split())
 
@@ -57,6 +71,20 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+def _told(token: str) -> set[str]:
+    """The words of one class or id by which it names what is no article text.
+
+    A compound is what its last word says: a reader-sidebar is a sidebar, a form-factor no form.
+    Words before the last tell only if nothing but words of place and form goes with them.
+    """
+    words = [x.lower() for x in WORD.findall(token)]
+    told = {x for x in words if x in NAMES}
+    others = [x for x in words if x not in NAMES and x not in PLAIN]
+    if others and (words[-1] not in NAMES or words[-1] in AMBIGUOUS):
+        return set()
+    return told
+
+
 def is_aside(name: str, attributes: str, in_article: bool) -> bool:
     """Whether an element is no article text."""
     if name in ASIDE:
@@ -72,18 +100,18 @@ def is_aside(name: str, attributes: str, in_article: bool) -> bool:
         if key in ("class", "id") and name not in ("html", "body", "main"):
             for one in value.split():
                 parts = {x.lower() for x in WORD.findall(one)}
-                told = parts & NAMES
+                told = _told(one)
                 if told and not (parts & OWN and told <= {"header", "banner"}) and not (name == "article" and not told & {"comment", "comments", "ad", "ads", "advert", "promo", "sponsored", "related"}):
                     return True
     return False
 
 
-def lines_of(html: str) -> tuple[list[tuple[str, int]], list[tuple[str, int]], list[int]]:
-    """Lines of text with the characters that count, of the page and of its articles alone;
-    and the number of each line's container in the page, 0 the body, -1 for empty lines."""
+def lines_of(html: str) -> tuple[list[tuple[str, int]], list[int]]:
+    """Lines of text with the characters that count, and the number of each line's container, 0
+    the body, -1 for empty lines. A marked article is the container of all that lies in it."""
     page: list[tuple[str, int]] = []
-    article: list[tuple[str, int]] = []
     containers: list[int] = []
+    inside: list[int] = []  # lines in a marked article
     heads: set[int] = set()  # lines that are headings
     linked_items: list[int] = []  # lines that are items of a link and nothing else
     stack: list[tuple[str, bool, bool, int]] = []  # name, no article text, marks an article, number
@@ -104,14 +132,15 @@ def lines_of(html: str) -> tuple[list[tuple[str, int]], list[tuple[str, int]], l
                     heads.add(len(page))
                 if not counts:
                     linked_items.append(len(page))
+                if marked:
+                    inside.append(len(page))
                 page.append((line, counts))
-                article.append((line, counts) if marked else ("", 0))
-                containers.append(next((n for name, _, _, n in reversed(stack) if name in BLOCK and name not in TEXT), 0))
+                own = (n for name, _, is_marked, n in (stack if marked else reversed(stack)) if is_marked or not marked and name in BLOCK and name not in TEXT)
+                containers.append(next(own, 0))
         linked = 0
 
     def gap() -> None:
         page.extend([("", 0)] * GAP)
-        article.extend([("", 0)] * GAP)
         containers.extend([-1] * GAP)
 
     def pop(to: int) -> None:
@@ -120,6 +149,8 @@ def lines_of(html: str) -> tuple[list[tuple[str, int]], list[tuple[str, int]], l
             name, was_aside, was_marked, _ = stack.pop()
             aside -= was_aside
             marked -= was_marked
+            if was_marked:
+                gap()
             links -= name == "a"
             headings -= name in HEADING
 
@@ -165,7 +196,7 @@ def lines_of(html: str) -> tuple[list[tuple[str, int]], list[tuple[str, int]], l
         is_marked = name in ("article", "main") and not no_text
         number += 1
         stack.append((name, no_text, is_marked, 0 if name in ("html", "body") else number))
-        if no_text and not aside:
+        if no_text and not aside or is_marked:
             gap()
         aside += no_text
         marked += is_marked
@@ -173,19 +204,20 @@ def lines_of(html: str) -> tuple[list[tuple[str, int]], list[tuple[str, int]], l
         headings += name in HEADING
     end_line()
     # Links one below the other amid an article's text, or below a heading, are its own list.
-    counting = [i for i, (_, n) in enumerate(article) if n]
+    marked_lines = set(inside)
+    counting = [i for i in inside if page[i][1]]
     headed = -1
     for i in linked_items:
         if headed != i - 1:
-            headed = i if i - 1 in heads and article[i - 1][1] else -1
+            headed = i if i - 1 in heads and i - 1 in marked_lines and page[i - 1][1] else -1
         elif headed >= 0:
             headed = i
-        if article[i][0] and counting and counting[0] < i and (i < counting[-1] or headed == i):
-            article[i] = (article[i][0], len(article[i][0]))
-    return page, article, containers
+        if i in marked_lines and counting and counting[0] < i and (i < counting[-1] or headed == i):
+            page[i] = (page[i][0], len(page[i][0]))
+    return page, containers
 
 
-def between(lines: list[tuple[str, int]], surge: int, containers: list[int] | None = None, window: int = WINDOW) -> list[str]:
+def between(lines: list[tuple[str, int]], surge: int, containers: list[int], window: int = WINDOW) -> list[str]:
     """The lines from each surge to the next dive, without empty ones and those that don't
     count; and lines that share a container with these, in the body those between two of them."""
     sums = [0] * (len(lines) + window)
@@ -193,12 +225,13 @@ def between(lines: list[tuple[str, int]], surge: int, containers: list[int] | No
     for i in range(len(lines) - 1, -1, -1):
         run += lines[i][1] - (lines[i + window][1] if i + window < len(lines) else 0)
         sums[i] = run
+    surge = min(surge, max(sums) // 2)
     kept, inside = [], False
     for i, (line, counts) in enumerate(lines):
         inside = sums[i] > 0 if inside else sums[i] > surge
         if inside and counts:
             kept.append(i)
-    if containers and kept:
+    if kept:
         surged, own = set(kept), {containers[i] for i in kept} - {0}
         body = [i for i in kept if containers[i] == 0]
         kept = [
@@ -209,12 +242,8 @@ def between(lines: list[tuple[str, int]], surge: int, containers: list[int] | No
 
 
 def main_text(html: str) -> str:
-    page, article, containers = lines_of(html)
-    if any(n for _, n in article):
-        blocks = between(article, 0)
-    else:  # a page whose text never surges is kept as it is
-        blocks = between(page, SURGE, containers) or between(page, 0)
-    return "\n\n".join(blocks)
+    page, containers = lines_of(html)
+    return "\n\n".join(between(page, SURGE, containers))
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -374,3 +374,38 @@ def test_decontamination_of_empty_tables(spark):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     assert decontaminate.contaminated(docs_of(spark, []), bench).count() == 0
     assert decontaminate.contaminated(docs_of(spark, corpus(1)), bench.limit(0)).count() == 0
+
+
+def test_classes_are_told_by_whole_names():
+    page = "<article>{}<div class='{}'><p>{}</p></div></article>"
+    long = "About form factors. " * 8
+    for name in ("form-factor", "search-algorithms", "binary-search", "menuItemsExplained", "social_contract", "alert-fatigue study", "header-files", "commentary"):
+        assert html_text.main_text(page.format("<p>x</p>", name, long)) == "x\n\n" + long.strip(), name
+    for name in ("sidebar", "site-footer", "reader-comments", "commentList", "contact-form", "ad-slot-2", "cookie_notice", "MainNav", "x search", "story-sidebar", "newsletter-signup"):
+        assert html_text.main_text(page.format("<p>x</p>", name, long)) == "x", name
+
+
+def test_text_between_surges_and_dives_is_kept():
+    """The rule, window by window, on random lines without elements that hold several of them."""
+    rng = random.Random(8)
+    for _ in range(300):
+        lines = [("x" * n, n) if n else ("", 0) for n in (rng.choice([0, 0, 0, 1, 5, 30, 200]) for _ in range(rng.randint(0, 25)))]
+        surge = rng.choice([0, 10, 80])
+        sums = [sum(n for _, n in lines[i : i + html_text.WINDOW]) for i in range(len(lines))]
+        least = min(surge, max(sums, default=0) // 2)
+        want, inside = [], False
+        for i, s in enumerate(sums):
+            if inside and s == 0:
+                inside = False
+            elif not inside and s > least:
+                inside = True
+            if inside and lines[i][1]:
+                want.append(lines[i][0])
+        # Each line is its own container, so nothing is kept for what lies beside it.
+        assert html_text.between(lines, surge, list(range(1, len(lines) + 1))) == want
+
+
+def test_short_pages_and_texts_outside_articles():
+    assert html_text.main_text("<p>tiny</p>") == "tiny"
+    long = "long text " * 12
+    assert html_text.main_text(f"<div><p>{long}</p></div><article><p>{long}</p><p>x</p></article><div><p>y</p></div>") == f"{long.strip()}\n\n{long.strip()}\n\nx"
