@@ -8,26 +8,41 @@ takes over whole slots and leaves all others where they are.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from planes.llm.common import shared_folder, stage
+
 SLOTS = 16384
 # Slots that are dealt before what is dealt is put together.
 RUN = 128
 
 
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """doc_id, size (UTF-8 bytes and one more), text_crc32, vslot. Null text has no bytes."""
+    """doc_id, size (UTF-8 bytes and one more), text_crc32, vslot, copies. Null text has no bytes.
+
+    A row stands for ``copies`` records that are alike. These are dealt evenly to slots of their
+    own, so that a record of any number of copies fills no slot alone.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(
+    alike = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-    ).withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    ).groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.least("n", F.lit(slots))
+    dealt = alike.select("doc_id", "size", "text_crc32", "n", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return dealt.select(
+        "doc_id", "size", "text_crc32",
+        F.pmod(F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)) + F.col("part"), F.lit(slots)).cast("int").alias("vslot"),
+        (F.floor(F.col("n") / F.col("parts")) + F.when(F.col("part") < F.col("n") % F.col("parts"), 1).otherwise(0)).cast("long").alias("copies"),
+    )
 
 
 def slot_sizes(rows: DataFrame) -> DataFrame:
     """vslot, bytes, rows; at most one row per slot."""
-    return rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    return rows.groupBy("vslot").agg(F.sum(F.col("size") * F.col("copies")).alias("bytes"), F.sum("copies").alias("rows"))
 
 
 def slot_map(sizes: DataFrame, shards: int, version: int = 1) -> DataFrame:
@@ -85,9 +100,14 @@ def store_map(slots: DataFrame, path: str) -> None:
     slots.write.partitionBy("version").mode("append").parquet(path)
 
 
+def has_map(spark, path: str) -> bool:
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(done)
+
+
 def load_map(spark, path: str, version: int | None = None) -> DataFrame:
     """The stored map of a version, by default of the newest."""
-    maps = spark.read.parquet(path)
+    maps = spark.read.schema("vslot int, shard int, bytes long, rows long, version int").parquet(path)
     if version is None:
         return maps.join(F.broadcast(maps.agg(F.max("version").alias("version"))), "version")
     return maps.where(F.col("version") == version)
@@ -101,27 +121,47 @@ def place(rows: DataFrame, slots: DataFrame) -> DataFrame:
     slot, a fixed number, and is broadcast.
     """
     before = W.partitionBy("shard").orderBy("vslot").rowsBetween(W.unboundedPreceding, -1)
-    based = slots.select("vslot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
-    inside = W.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
+    based = slots.select("vslot", "shard", "version", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
+    inside = W.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size").rowsBetween(W.unboundedPreceding, 0)
     return (
-        rows.withColumn("__n", F.row_number().over(inside))
+        rows.withColumn("__n", F.sum("copies").over(inside) - F.col("copies"))
         .join(F.broadcast(based), "vslot")
-        .withColumn("slot", (F.col("base") + F.col("__n") - 1).cast("long"))
-        .drop("base", "__n")
+        .withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        .withColumn("slot", (F.col("base") + F.col("__n") + F.col("__copy")).cast("long"))
+        .drop("base", "__n", "__copy", "copies")
     )
 
 
-def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(
+    docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, version: int | None = None
+) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, version.
 
-    Sizes of shards are near equal (law ``bytes``). Null and empty texts have size 1; null
-    ids are hashed like any other value; repeated rows each take a place; an empty table
-    gives no rows. Other columns are not read.
+    The map at ``path`` says which shard holds each virtual slot: its ``version``, by default the
+    newest; without a path it is a new one in the shared folder. Where there is none yet, one is
+    made for these documents and stored, by which sizes of shards are near equal (law ``bytes``). Null and empty texts have size 1; null ids are
+    hashed like any other value; repeated rows each take a place; an empty table gives no
+    rows. Documents in slots that the map does not have, as they were empty when it was made,
+    go to the shard of the slot before. Other columns are not read.
     """
-    rows = records(docs, id_col, text_col)
-    slots = slot_map(slot_sizes(rows), shards)
-    placed = place(rows, slots)
+    spark = docs.sparkSession
+    path = path or f"{shared_folder(spark)}/planes-llm/shard-map-{uuid.uuid4().hex}"
+    rows = stage(records(docs, id_col, text_col), "shard-records")
+    if not has_map(spark, path):
+        store_map(slot_map(slot_sizes(rows), shards), path)
+    slots = load_map(spark, path, version)
+    placed = place(rows, counted(slots, rows))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(1).alias("version"),
+        F.lit(None).cast("int").alias("grown_shard"), "vslot", "version",
     )
+
+
+def counted(slots: DataFrame, rows: DataFrame) -> DataFrame:
+    """The map with bytes and rows of ``rows`` in place of those it was made from, and with all
+    slots that these use. Its size is that of the map, whatever the rows."""
+    now = slot_sizes(rows).join(slots.select("vslot", "version", "shard"), "vslot", "full").where("rows is not null or shard is not null")
+    up = W.orderBy("vslot").rowsBetween(W.unboundedPreceding, 0)
+    down = W.orderBy("vslot").rowsBetween(0, W.unboundedFollowing)
+    filled = lambda c: F.coalesce(F.last(c, True).over(up), F.first(c, True).over(down)).alias(c)
+    return now.select("vslot", filled("version"), filled("shard"), F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("rows", F.lit(0)).alias("rows"))

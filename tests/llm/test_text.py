@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -409,3 +410,33 @@ def test_short_pages_and_texts_outside_articles():
     assert html_text.main_text("<p>tiny</p>") == "tiny"
     long = "long text " * 12
     assert html_text.main_text(f"<div><p>{long}</p></div><article><p>{long}</p><p>x</p></article><div><p>y</p></div>") == f"{long.strip()}\n\n{long.strip()}\n\nx"
+
+
+def test_rows_that_are_alike_share_no_slot_alone(spark):
+    """A third of all rows with a null id and no text, and a text of many copies."""
+    rows = [(None, None)] * 5000 + [(7, "copy " * 200)] * 300 + [(i, "y" * (i % 90)) for i in range(100, 5000)]
+    got = sharding.shard(docs_of(spark, rows)).collect()
+    sizes, slots = Counter(), {}
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == len(rows) and max(sizes.values()) < 1.05 * sum(sizes.values()) / 16
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and len(slots) == 16
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, len(t or "") + 1) for i, t in rows)
+
+
+def test_a_stored_map_is_read_by_version_and_edited(spark, tmp_path):
+    path = str(tmp_path / "map")
+    rows = [(i, "z" * (i % 70)) for i in range(4000)]
+    where = lambda docs, **how: {r["doc_id"]: (r["shard"], r["version"]) for r in sharding.shard(docs_of(spark, docs), path=path, **how).collect()}
+    first = where(rows, shards=5)
+    assert {v for _, v in first.values()} == {1} and {s for s, _ in first.values()} == set(range(5))
+    # Other documents, and more, keep to the stored map; each has a place.
+    more = where(rows[:3000] + [(i, "new") for i in range(9000, 9500)], shards=99)
+    assert all(more[i] == first[i] for i in range(3000)) and len(more) == 3500 and {s for s, _ in more.values()} <= set(range(5))
+    sharding.store_map(sharding.grow(sharding.load_map(spark, path), 5), path)
+    grown = where(rows)
+    assert all(grown[i] == (first[i][0], 2) or grown[i] == (5, 2) for i in first)
+    moved = sum(i % 70 + 1 for i, (s, _) in grown.items() if s == 5) / sum(i % 70 + 1 for i in first)
+    assert 0.14 < moved < 0.18  # its part of the bytes, in the smallest slots
+    assert where(rows, version=1) == first
