@@ -327,15 +327,22 @@ def contaminated(
     An item is found when ``cover`` percent of its windows are there, or of those with up to
     window - literals numbers, names and units, or VERBATIM words in a row. An item shorter
     than a window is one window of its own words; with under SHORTEST it is not searched for.
-    Null and empty texts hold nothing. Rows repeated, also with a null id, are each reported.
+    Texts that share an item_id, also a null one, are items of their own with that id; rows of the
+    benchmark repeated in id and text are one. Null and empty texts hold nothing. Rows repeated, also with a null id, are each reported.
     An empty table on either side gives no rows. Other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").dropDuplicates(["item_id"])
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text <> ''").distinct()
+    # Texts are searched for under keys of their own: several may share an id, and it may be null.
+    bench = bench.select(F.xxhash64("item_id", "text").alias("key"), "item_id", "text")
+    keyed, names = bench.select(F.col("key").alias("item_id"), "text"), bench.select("key", F.col("item_id").alias("name"))
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     if size <= broadcast_bytes:
-        return _by_broadcast(docs, bench, window, literals, cover)
-    return _by_shuffle(docs, bench, window, literals, cover)
+        found, names = _by_broadcast(docs, keyed, window, literals, cover), F.broadcast(names)  # no more rows than bytes
+    else:
+        found = _by_shuffle(docs, keyed, window, literals, cover)
+    named = found.withColumnRenamed("item_id", "key").join(names, "key").withColumnRenamed("name", "item_id")
+    return named.select(*_ARROW.names)
 
 
 def _by_broadcast(docs: DataFrame, bench: DataFrame, window: int, literals: int, cover: int) -> DataFrame:

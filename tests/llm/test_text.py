@@ -440,3 +440,12 @@ def test_a_stored_map_is_read_by_version_and_edited(spark, tmp_path):
     moved = sum(i % 70 + 1 for i, (s, _) in grown.items() if s == 5) / sum(i % 70 + 1 for i in first)
     assert 0.14 < moved < 0.18  # its part of the bytes, in the smallest slots
     assert where(rows, version=1) == first
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
+def test_items_that_share_an_id_are_all_searched_for(spark, limit):
+    texts = ["alpha beta gamma delta epsilon zeta eta theta iota", "red orange yellow green blue indigo violet white black grey", "one item without an id of its own in the benchmark"]
+    bench = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[2]), (5, None), (None, "")], "item_id long, text string")
+    rows = [(i, f"so {t} it is") for i, t in enumerate(texts)] + [(9, "nothing of this kind is in here at all today")]
+    got = decontaminate.contaminated(docs_of(spark, rows), bench, broadcast_bytes=limit).collect()
+    assert sorted(((r["doc_id"], r["item_id"]) for r in got), key=str) == [(0, 1), (1, 1), (2, None)]
