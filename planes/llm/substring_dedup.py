@@ -1,21 +1,21 @@
-"""Repeated passages by prefix-partitioned suffix trees, over words.
+"""Repeated passages by windows that are grouped by prefixes.
 
-A repeat of ``min_words`` words is an internal node of depth ``min_words`` or more in the
-suffix tree of all documents. The tree is never built whole.
+A repeat of ``min_words`` words is a node of that depth or more in the suffix tree of all
+documents. Nodes of other depths and maximal repeats are not needed for what is cut, so no tree
+is built: what its nodes of that depth say, which windows come again and where first, is found
+group by group with a dictionary of windows.
 
-Which suffixes. Of the prefixes of PREFIX words that begin inside a window of min_words
+Which windows. Of the prefixes of PREFIX words that begin inside a window of min_words
 words, the one with the least hash is the window's anchor. Equal windows have equal anchors
 at the same place, so a window can only be repeated if its anchor is, and an anchor found in
 one document only takes its windows out of the work before any text is moved.
 
-Groups. Suffixes are dealt out by prefixes of variable length: by the anchor's PREFIX words
+Groups. Windows are dealt out by prefixes of variable length: by the anchor's PREFIX words
 while no more than GROUP documents have it, else by all min_words words. A group of short
-prefixes so holds a bounded number of suffixes; one of whole windows has a single node.
+prefixes so holds a bounded number of windows; one of whole windows has a single one.
 
-Subtrees. A group's suffixes are put into its subtree in the order of their documents. Nodes
-are kept from depth min_words on, the edges above them compressed into one, and a suffix
-that meets a node which an earlier document has made is repeated. Words are compared as
-text, not by hashes.
+In a group. Windows are put into its dictionary in the order of their documents, and one that
+an earlier document has put there is repeated. Words are compared as text, not by hashes.
 
 Passages that very many documents share are settled first inside each piece of a task,
 of which one row per passage goes on.
@@ -97,7 +97,7 @@ def repeated_anchors(docs: DataFrame, min_words: int, prefix: int, group: int) -
         F.coalesce("known", "route").alias("code"), "doc_id", F.coalesce("tag", F.lit(0)).alias("tag"),
         F.shiftright("place", 24).cast("int").alias("at"), F.col("known").isNotNull().alias("known"), "docs",
     )
-    met = stage(met, "anchors", large=True)
+    met = stage(met, "anchors")
     heavy = met.where((~F.col("known")) & (F.col("docs") > group)).select("code", F.lit(True).alias("heavy")).distinct()
     marked = met.join(heavy, "code", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
     return marked.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "heavy")).alias("anchors"))
@@ -163,15 +163,15 @@ def suffix_table(docs: DataFrame, min_words: int, prefix: int) -> DataFrame:
     return docs.mapInArrow(run, "route long, doc_id long, tag long, start int, n int, words binary")
 
 
-def subtree_repeats(suffixes: DataFrame, min_words: int) -> DataFrame:
+def window_repeats(suffixes: DataFrame, min_words: int) -> DataFrame:
     """doc_id, tag, start, n: the runs of windows that an earlier document has.
 
-    Rows come sorted by group and document, so a node knows its first document when it is
-    made, and only the nodes of one group are held.
+    Rows come sorted by group and document, so a window's first document is known when it is
+    first met, and only the windows of one group are held.
     """
 
     def run(batches):
-        group, nodes = None, {}
+        group, first = None, {}
         for batch in batches:
             found: list[tuple[int, int, int, int]] = []
             for route, doc, tag, start, n, text in zip(*(batch.column(c).to_pylist() for c in ("route", "doc_id", "tag", "start", "n", "words"))):
@@ -179,12 +179,12 @@ def subtree_repeats(suffixes: DataFrame, min_words: int) -> DataFrame:
                     found.append((doc, tag, start, n))
                     continue
                 if route != group:
-                    group, nodes = route, {}
+                    group, first = route, {}
                 path = text.split(b" ")
                 begun = None
                 for k in range(n):
-                    node = text if n == 1 else b" ".join(path[k : k + min_words])
-                    old = nodes.setdefault(node, doc) < doc
+                    window = text if n == 1 else b" ".join(path[k : k + min_words])
+                    old = first.setdefault(window, doc) < doc
                     if old and begun is None:
                         begun = k
                     elif not old and begun is not None:
@@ -208,7 +208,7 @@ def repeats(docs: DataFrame, min_words: int = 13, prefix: int = PREFIX, group: i
     prefix = min(prefix, min_words)
     anchors = stage(repeated_anchors(docs, min_words, prefix, group), "anchors")
     suffixes = suffix_table(docs.join(anchors, ["doc_id", "tag"]), min_words, prefix)
-    found = stage(subtree_repeats(suffixes, min_words), "repeats", large=True)
+    found = stage(window_repeats(suffixes, min_words), "repeats")
     return found.distinct().groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
 
