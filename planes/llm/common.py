@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,13 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from planes.session import ship_package
 
 WHITE = r"[\x20\x09-\x0D]"
+# Lets Spark remove the shuffle files of an execution as soon as that has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Bytes of a batch that goes to Python, and its setting. Rows alone, the other limit, say little
+# where one row is a text.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
 
 
 def ready(spark: SparkSession) -> None:
-    """What every query needs of a session: this package on the executors, and a shared folder."""
+    """What every query needs of a session: this package on the executors, a shared folder, and
+    a limit on the bytes handed to Python at once, unless the session has one."""
     if not spark.sparkContext.master.startswith("local["):
         ship_package(spark)
     shared_folder(spark)
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(BATCH_BYTES[0], str(BATCH_BYTES[1]))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,23 +46,48 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stage(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+_staged: list[str] = []
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again, so that what follows does not
-    compute it twice and a lost executor costs no more than a read. After a ``large`` shuffle
-    its files, which nothing refers to any more, are released before the next begins."""
+    compute it twice and a lost executor costs no more than a read. The shuffle files it was
+    made from are removed when it has been written."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/planes-llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    schema = df.schema
-    del df
-    for _ in range(2 * large):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)  # events of the finished write still refer to it for a moment
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    _staged.append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def staged() -> list[str]:
+    """Tables staged by this process that are still there, oldest first."""
+    return list(_staged)
+
+
+def release(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes staged tables, once nothing reads them any more."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        _staged.remove(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what ``stage`` returned, once all that was made from it has been written."""
+    for table in tables:
+        release(table.sparkSession, [table.staged_at])
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in pieces of up to ``rows``, whose ``text`` has about ``most``
     bytes, so that the arrays made from a piece stay small; a longer text comes alone."""
     for batch in batches:

@@ -79,7 +79,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows repeated in id and text, one."""
-    best = stage(winners(docs, id_col, text_col), "exact-winners", large=True).select(
+    best = stage(winners(docs, id_col, text_col), "exact-winners").select(
         F.col("digest").alias("__best"), F.col("best.id").alias("__id")
     )
     body = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"{WHITE}+", "")

@@ -73,8 +73,8 @@ def near_pairs(lines: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "line_no")
     halves = variant_table(lines, halves=True)
     shared = halves.groupBy("code").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select("code")
-    likely = stage(halves.join(stage(shared, "halves", large=True), "code").select("doc_id", "line_no").distinct(), "likely", large=True)
-    lines = stage(lines.join(likely, ["doc_id", "line_no"]), "candidates", large=True)
+    likely = stage(halves.join(stage(shared, "halves"), "code").select("doc_id", "line_no").distinct(), "likely")
+    lines = stage(lines.join(likely, ["doc_id", "line_no"]), "candidates")
     variants = variant_table(lines, halves=False)
     replaced = variants.where("kind = 0")
     first = replaced.groupBy("code").agg(F.min(place).alias("early"), F.max(place).alias("most")).where("early < most").select("code", "early")
@@ -85,7 +85,7 @@ def near_pairs(lines: DataFrame) -> DataFrame:
     firsts = less.groupBy("code").agg(F.min("x").alias("x"))
     met = whole.join(firsts, "code").where("x < y").select(F.col("y").alias("late"), F.col("x").alias("early"))
     longer = less.join(whole, "code").where("y < x").select(F.col("x").alias("late"), F.col("y").alias("early"))
-    pairs = stage(pairs.unionByName(met).unionByName(longer).distinct(), "pairs", large=True)
+    pairs = stage(pairs.unionByName(met).unionByName(longer).distinct(), "pairs")
     text = lambda c: lines.select(place.alias(c), F.col("line").alias(f"line_{c}"))
 
     def run(batches):
@@ -154,11 +154,11 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "
     lines = lines_of(docs.where("doc_id is not null"))
     first = stage(
         lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "line")).alias("f")).select("h1", "h2", "f.doc_id", "f.line_no", "f.line"),
-        "lines", large=True,
+        "lines",
     )
     long = F.size(F.split("line", " ")) >= least_words
     near = near_pairs(first.where(long).select("doc_id", "line_no", "line"))
-    near = stage(near.unionByName(near_short(first.where(~long).select("doc_id", "line_no", "line"))), "near", large=True)
+    near = stage(near.unionByName(near_short(first.where(~long).select("doc_id", "line_no", "line"))), "near")
     known = first.select("h1", "h2", F.col("doc_id").alias("d"), F.col("line_no").alias("n")).join(
         near.select(F.col("doc_id").alias("d"), F.col("line_no").alias("n"), F.lit(True).alias("near")), ["d", "n"], "left"
     )
@@ -170,7 +170,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "
     parts = F.split(F.coalesce("text", F.lit("")), "\n")
     has = lambda x: F.regexp_replace(x, f"{WHITE}+", "") != ""
     drop = lambda x, i: F.coalesce(F.array_contains("gone", i), F.lit(False)) & has(x)
-    return docs.join(stage(gone, "gone", large=True), "doc_id", "left").select(
+    return docs.join(stage(gone, "gone"), "doc_id", "left").select(
         "doc_id",
         F.size(F.filter(parts, has)).cast("long").alias("n_lines"),
         F.size(F.filter(parts, drop)).cast("long").alias("n_removed"),

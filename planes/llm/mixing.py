@@ -171,7 +171,7 @@ def mix(
     take everything ``most`` times. An empty table gives no rows; other columns are not read.
     """
     check_schedules(weights, schedules)
-    rows = stage(narrow(docs, id_col, text_col, source_col), "mix-rows", large=True)
+    rows = stage(narrow(docs, id_col, text_col, source_col), "mix-rows")
     if share[0] > most * share[1]:
         share = (most, 1)
     sources, sums = targets(numbered_sources(rows), weights, share, most)

@@ -9,20 +9,23 @@ phrase not counted yet whose parts are all either known to be frequent or not co
 no failure is left. Every part of a frequent phrase is frequent, so nothing is missed.
 
 What is proposed grows with the documents; tasks know it as a filter of bits of a fixed size.
-Where the filter errs a phrase too many is counted, which changes no result.
+Where the filter errs a phrase too many is counted, which changes no result. Most phrases of
+the border are rare, so the pass over all documents has two turns: phrases are counted by
+their hashes first, and only those whose hash is frequent by themselves.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from planes.llm.common import slices, stage
-from planes.llm.tokens import _BASE, _LOWER, mix, span_codes, text_bytes, words
+from planes.llm.filters import FILTER_BITS, Filter, filter_of_hashes, opened
+from planes.llm.tokens import _BASE, _LOWER, mix, signed, span_codes, text_bytes, words
 
 # Bytes that end a piece of a text, and bytes between the words of a piece.
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -30,33 +33,12 @@ LONGEST = 5
 SUPPORT = 100
 # One document of so many is in the sample, where this part of the bound, in percent, suffices.
 SAMPLE, LOWERED = 8, 50
-# Bits of a filter, as a power of two, whatever is put into it.
-FILTER_BITS = 25
 UNNAMED = "und"
 # Sub-groups of a language that are ranked before the whole.
 SALTS = 256
 COUNTED = "lang string, phrase string, k int, f long"
 
 
-class Filter:
-    """A set of phrases by their hashes; it may hold more than was put in, never less."""
-
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
-
-    def holds(self, codes: np.ndarray) -> np.ndarray:
-        found = np.ones(len(codes), bool)
-        for word, bit in _places(codes, len(self.bits)):
-            found &= (self.bits[word] & bit) != 0
-        return found
-
-
-def _places(codes: np.ndarray, size: int) -> Iterable[tuple[np.ndarray, np.ndarray]]:
-    for shift in (0, 32):
-        at = (codes >> np.uint64(shift)) % np.uint64(size * 64)
-        yield (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
-
-
 def _lang_code(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
@@ -154,25 +136,40 @@ class Pieces:
                     in_counted[look] = counted.holds(codes[look])
 
 
-def _opened(shared) -> Filter | None:
-    return None if shared is None else Filter(np.frombuffer(shared.value, np.uint64))
+def _chosen(p: Pieces, lengths: Sequence[int], known: Filter | None, counted: Filter | None, kept: Filter | None):
+    """k, first word, hash and number of the distinct phrases of some texts that are to be counted."""
+    found = list(p.chosen(lengths, known, counted))
+    if kept is not None:
+        found = [(k, first[some], codes[some]) for k, first, codes in found for some in [kept.holds(codes)]]
+    k = np.concatenate([np.full(len(first), k) for k, first, _ in found] or [np.zeros(0, np.int64)])
+    first = np.concatenate([first for _, first, _ in found] or [np.zeros(0, np.int64)])
+    codes, one, n = np.unique(np.concatenate([c for _, _, c in found] or [np.zeros(0, np.uint64)]), return_index=True, return_counts=True)
+    return k[one], first[one], codes, n
+
+
+def frequent_hashes(docs: DataFrame, lengths: Sequence[int], support: int, known=None) -> DataFrame:
+    """code: the hashes that phrases chosen by ``known`` have ``support`` times or more, all together."""
+
+    def run(batches):
+        a = opened(known)
+        for batch in slices(batches, "text"):
+            _, _, codes, n = _chosen(Pieces(batch.column("text"), batch.column("lang").to_pylist()), lengths, a, None, None)
+            yield pa.RecordBatch.from_arrays([signed(codes), pa.array(n, pa.int64())], ["code", "n"])
+
+    rows = docs.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return rows.where(F.col("n") >= support).select("code")
 
 
-def counts(docs: DataFrame, lengths: Sequence[int], known=None, counted=None) -> DataFrame:
-    """lang, phrase, k, f: phrases of ``lengths`` chosen by ``known`` and ``counted`` (broadcast
-    filters), counted over all ``docs`` (lang, text). Where words are asked for, k = 0 has
-    the number of all words, under the empty phrase."""
+def counts(docs: DataFrame, lengths: Sequence[int], known=None, counted=None, kept=None) -> DataFrame:
+    """lang, phrase, k, f: phrases of ``lengths`` chosen by ``known`` and ``counted``, and in
+    ``kept`` if that is given (all broadcast filters), counted over all ``docs`` (lang, text).
+    Where words are asked for, k = 0 has the number of all words, under the empty phrase."""
 
     def run(batches):
-        a, b = _opened(known), _opened(counted)
-        for batch in slices(batches, "text", 2 << 20):
+        a, b, c = opened(known), opened(counted), opened(kept)
+        for batch in slices(batches, "text"):
             p = Pieces(batch.column("text"), batch.column("lang").to_pylist())
-            found = list(p.chosen(lengths, a, b))
-            k = np.concatenate([np.full(len(first), k) for k, first, _ in found] or [np.zeros(0, np.int64)])
-            first = np.concatenate([first for _, first, _ in found] or [np.zeros(0, np.int64)])
-            codes = np.concatenate([c for _, _, c in found] or [np.zeros(0, np.uint64)])
-            _, one, n = np.unique(codes, return_index=True, return_counts=True)
-            first, k = first[one], k[one]
+            k, first, _, n = _chosen(p, lengths, a, b, c)
             lang = p.lang[first]
             text = p.texts(first, k)
             if 1 in lengths:
@@ -186,9 +183,7 @@ def counts(docs: DataFrame, lengths: Sequence[int], known=None, counted=None) ->
 
 
 def filter_of(phrases: DataFrame, bits: int = FILTER_BITS):
-    """A broadcast filter of (lang, phrase, k). It has 2^bits bits, whatever the number of phrases;
-    no more than one row for every 64 of them is brought to the driver."""
-    size = 1 << (bits - 6)
+    """A broadcast filter of (lang, phrase)."""
 
     def run(batches):
         for batch in batches:
@@ -202,15 +197,9 @@ def filter_of(phrases: DataFrame, bits: int = FILTER_BITS):
                 for j in range(1, n):
                     total = total * _BASE + w.codes[at + j]
                 codes[some] = _sealed(total, n, lang[some])
-            places = list(_places(codes[k > 0], size))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([p for p, _ in places])), pa.array(np.concatenate([b for _, b in places]).view(np.int64))], ["word", "bits"]
-            )
+            yield pa.RecordBatch.from_arrays([signed(codes[k > 0])], ["code"])
 
-    rows = phrases.select("lang", "phrase").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    filled = np.zeros(size, np.uint64)
-    filled[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return phrases.sparkSession.sparkContext.broadcast(filled.tobytes())
+    return filter_of_hashes(phrases.select("lang", "phrase").mapInArrow(run, "code long"), bits)
 
 
 def frequent(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, sample: int = SAMPLE, bits: int = FILTER_BITS) -> DataFrame:
@@ -222,18 +211,20 @@ def frequent(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, sa
     extends = F.col("k").between(1, longest - 1)
 
     # The sample's proposal, in three passes over the sample: words, pairs, longer phrases.
-    proposed = stage(counts(part, [1]).where(often & (F.col("k") == 1)), "phrases-proposed", large=True)
+    proposed = stage(counts(part, [1]).where(often & (F.col("k") == 1)), "phrases-proposed")
     ones = filter_of(proposed, bits)
     if longest > 2:
-        proposed = proposed.unionByName(stage(counts(part, [2], ones).where(often), "phrases-proposed", large=True))
+        proposed = proposed.unionByName(stage(counts(part, [2], ones).where(often), "phrases-proposed"))
     if longest > 3:
         longer = counts(part, range(3, longest), filter_of(proposed, bits), ones)
-        proposed = proposed.unionByName(stage(longer.where(often), "phrases-proposed", large=True))
+        proposed = proposed.unionByName(stage(longer.where(often), "phrases-proposed"))
 
     # Everything proposed and its negative border, counted over all documents.
     known = filter_of(proposed, bits)
     enough = (F.col("f") >= support) | (F.col("k") == 0)
-    found = stage(counts(docs, range(1, longest + 1), known).where(enough), "phrases-counted", large=True)
+    lengths = range(1, longest + 1)
+    kept = filter_of_hashes(stage(frequent_hashes(docs, lengths, support, known), "phrases-hashes"), bits)
+    found = stage(counts(docs, lengths, known, kept=kept).where(enough), "phrases-counted")
     new = found
     while True:
         failures = new.where(extends).join(proposed, ["lang", "phrase"], "left_anti")
@@ -241,7 +232,7 @@ def frequent(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, sa
             return found
         proposed = proposed.select("lang", "phrase").unionByName(failures.select("lang", "phrase"))
         more = counts(docs, range(2, longest + 1), filter_of(found.where(extends), bits), known)
-        new = stage(more.where(enough), "phrases-counted", large=True)
+        new = stage(more.where(enough), "phrases-counted")
         # What this pass chose is counted from now on, and what it found frequent is known.
         proposed = proposed.unionByName(new.where(extends).select("lang", "phrase"))
         found = found.unionByName(new)

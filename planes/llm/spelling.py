@@ -56,16 +56,19 @@ def vocabulary(words: DataFrame, least_length: int, least_count: int = 2) -> Dat
     return long.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_count)
 
 
-def signatures(parts: int = PARTS) -> Column:
-    """The PartEnum signatures of ``word``: a hash of its letters in each choice of all parts but two."""
-    letters = F.array_join(F.array_sort(F.split("word", "")), "")
+def with_signatures(vocab: DataFrame, parts: int = PARTS) -> DataFrame:
+    """``vocab`` with the PartEnum signatures of each word: a hash of its letters in each choice of
+    all parts but two."""
     sets = ["".join(DEALT[i::parts]) for i in range(1, parts)]
     others = lambda i: "".join(s for j, s in enumerate(sets, 1) if j != i)
+    letters = vocab.select("*", F.array_join(F.array_sort(F.split("word", "")), "").alias("letters"))
     # What is in none of the other sets belongs to part 0.
-    rest = F.translate(letters, "".join(sets), "")
-    pieces = [rest] + [F.regexp_replace(F.translate(letters, others(i), ""), f"[^{s}]+", "") for i, s in enumerate(sets, 1)]
+    split = letters.select("*", F.translate("letters", "".join(sets), "").alias("part0"), *(
+        F.regexp_replace(F.translate("letters", others(i), ""), f"[^{s}]+", "").alias(f"part{i}") for i, s in enumerate(sets, 1)
+    ))
     chosen = combinations(range(parts), parts - DISTANCE)
-    return F.array(*(F.xxhash64(F.lit(k), *(pieces[i] for i in kept)) for k, kept in enumerate(chosen)))
+    signs = F.array(*(F.xxhash64(F.lit(k), *(f"part{i}" for i in kept)) for k, kept in enumerate(chosen)))
+    return split.select(*vocab.columns, signs.alias("signs"))
 
 
 def halves() -> Column:
@@ -82,7 +85,8 @@ def halves() -> Column:
 
 def keyed(vocab: DataFrame, parts: int = PARTS) -> DataFrame:
     """word, n, key, side, same: a row for each signature with each half."""
-    signed = vocab.select("word", "n", halves().alias("halves"), F.explode(signatures(parts)).alias("sign"))
+    signed = with_signatures(vocab, parts).select("word", "n", halves().alias("halves"), "signs")
+    signed = signed.select("word", "n", "halves", F.explode("signs").alias("sign"))
     return signed.select("word", "n", "sign", F.explode("halves").alias("half")).select(
         "word", "n", F.xxhash64("sign", "half.code").alias("key"), "half.side", "half.same"
     )
@@ -121,7 +125,7 @@ def near_words(vocab: DataFrame, parts: int = PARTS, group: int = GROUP) -> Data
     """a, n_a, b, n_b with a before b: all pairs of words that one edit tells apart."""
     keys = keyed(vocab, parts)
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > group)
-    large = stage(sizes.select("key"), "spelling-keys", large=True)
+    large = stage(sizes.select("key"), "spelling-keys")
     listed = F.collect_list(F.struct("word", "n")).alias("words")
     small = _pairs(keys.join(large, "key", "left_anti").groupBy("key").agg(listed), lambda x, y: F.lit(True))
     split = split_keys(keys.join(large, "key", "left_semi")).groupBy("key").agg(F.collect_list(F.struct("word", "n", "role")).alias("words"))
@@ -131,9 +135,11 @@ def near_words(vocab: DataFrame, parts: int = PARTS, group: int = GROUP) -> Data
 
 def forms_of(vocab: DataFrame, pairs: DataFrame, ratio: int = RATIO) -> DataFrame:
     """word, n_near, form, form_n of the words that have near words."""
-    both = pairs.select(F.col("a").alias("word"), F.col("n_a").alias("n"), F.col("b").alias("other"), F.col("n_b").alias("other_n")).unionByName(
-        pairs.select(F.col("b").alias("word"), F.col("n_b").alias("n"), F.col("a").alias("other"), F.col("n_a").alias("other_n"))
+    ways = F.array(
+        F.struct(F.col("a").alias("word"), F.col("n_a").alias("n"), F.col("b").alias("other"), F.col("n_b").alias("other_n")),
+        F.struct(F.col("b").alias("word"), F.col("n_b").alias("n"), F.col("a").alias("other"), F.col("n_a").alias("other_n")),
     )
+    both = pairs.select(F.inline(ways))
     best = both.groupBy("word", "n").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best")
     )
@@ -168,7 +174,7 @@ def variants(vocab: DataFrame, parts: int = PARTS, group: int = GROUP, ratio: in
     an empty vocabulary gives no rows. Other columns are not read.
     """
     vocab = vocab.select("word", F.col("n").cast("long").alias("n"))
-    forms = stage(forms_of(vocab, near_words(vocab, parts, group)), "spelling-forms", large=True)
+    forms = stage(forms_of(vocab, near_words(vocab, parts, group)), "spelling-forms")
     return (
         vocab.join(forms, "word", "left")
         .join(roots_of(forms), "word", "left")
@@ -183,4 +189,4 @@ def variants_in_texts(docs: DataFrame, letters: str, least_length: int, slip_eve
     rows counts. Columns other than doc_id and text are not read.
     """
     words = with_slips(runs_of(docs, letters, least_length), slip_every)
-    return variants(stage(vocabulary(words, least_length), "spelling-words", large=True))
+    return variants(stage(vocabulary(words, least_length), "spelling-words"))
