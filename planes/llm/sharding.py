@@ -162,6 +162,6 @@ def counted(slots: DataFrame, rows: DataFrame) -> DataFrame:
     slots that these use. Its size is that of the map, whatever the rows."""
     now = slot_sizes(rows).join(slots.select("vslot", "version", "shard"), "vslot", "full").where("rows is not null or shard is not null")
     up = W.orderBy("vslot").rowsBetween(W.unboundedPreceding, 0)
-    down = W.orderBy("vslot").rowsBetween(0, W.unboundedFollowing)
-    filled = lambda c: F.coalesce(F.last(c, True).over(up), F.first(c, True).over(down)).alias(c)
+    down = W.orderBy(F.desc("vslot")).rowsBetween(W.unboundedPreceding, 0)
+    filled = lambda c: F.coalesce(F.last(c, True).over(up), F.last(c, True).over(down)).alias(c)
     return now.select("vslot", filled("version"), filled("shard"), F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("rows", F.lit(0)).alias("rows"))
