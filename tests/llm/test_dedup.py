@@ -225,3 +225,41 @@ def test_short_lines_are_near_by_characters(spark):
     ]
     rows = [(r["doc_id"], r["n_removed"]) for r in line_dedup.dedup_lines(docs_of(spark, list(enumerate(lines)))).collect()]
     assert sorted(i for i, n in rows if n) == [1, 2, 3, 6]
+
+
+def test_line_dedup_moves_texts_of_likely_lines_alone(spark, monkeypatch):
+    """Long lines are told apart by numbers; only such as share a half are fetched as texts."""
+    held = {}
+
+    def watched(df, name, stage=line_dedup.stage):
+        held[name] = stage(df, name)
+        return held[name]
+
+    monkeypatch.setattr(line_dedup, "stage", watched)
+    lines = [" ".join(f"w{i}x{k}" for k in range(12)) for i in range(40)]
+    near = lines[7].replace("w7x3", "typo")
+    rows = [(i, f"{x}\n{lines[7] if i == 30 else ''}") for i, x in enumerate(lines)] + [(90, f"short line\n{near}"), (91, "short line")]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()}
+    assert {i for i, n in got.items() if n} == {30, 90, 91}
+    texts = [r["line"] for name, df in held.items() if "line" in df.columns for r in df.select("line").collect() if r["line"] is not None]
+    assert set(texts) == {"short line", lines[7], near}
+
+
+@pytest.mark.parametrize("block", [1, 20, 1 << 18])
+def test_half_codes_are_equal_where_halves_are(monkeypatch, block):
+    import numpy as np
+
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    lines = [rng.integers(1, 4, n, dtype=np.uint64) for n in rng.integers(8, 12, 300)]
+    ends = np.cumsum([len(x) for x in lines])
+    codes = line_dedup._half_codes(np.concatenate(lines), ends - [len(x) for x in lines], ends)
+    named = {}
+    for x, row in zip(lines, codes.tolist()):
+        n = len(x)
+        ks = ((n - 1) // 2, (n - 1) // 2, (n + 1) // 2, (n + 1) // 2)
+        for j, (k, code) in enumerate(zip(ks, row)):
+            half = tuple((x[:k] if j % 2 == 0 else x[n - k :]).tolist())
+            named.setdefault(code, set()).add((j % 2, half))
+    assert all(len(x) == 1 for x in named.values())
+    assert len(named) == len({h for x in named.values() for h in x}) < 4 * len(lines)
