@@ -56,6 +56,24 @@ def test_ngram_join_of_a_family_with_many_strangers(spark, monkeypatch):
     assert sorted((tuple(r) for r in got.collect()), key=str) == want
 
 
+def test_differences_from_hubs_are_moved_in_slices(spark, monkeypatch):
+    """No slice holds all differences, and all links are found."""
+    monkeypatch.setattr(ngram_join, "DIFFERENCES", 200)
+    totals = []
+
+    def watched(compared, labels, percent, keys=ngram_join.strangers_and_kin):
+        totals.append(compared.selectExpr("coalesce(sum(size(differ)), 0)").first()[0])
+        return keys(compared, labels, percent)
+
+    monkeypatch.setattr(ngram_join, "strangers_and_kin", watched)
+    rows = corpus(9, copies=90)
+    want, links = plain_groups(rows, 5, 80)
+    got = ngram_join.jaccard_groups(docs_of(spark, rows), 5, 80)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    assert links > 20
+    assert sum(totals) > 600 and max(totals) < sum(totals) * 2 // 3
+
+
 def test_long_sets_are_compared_in_segments(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SEGMENT", 16)
     rows = corpus(7, n=30, copies=40, length=(20, 120))
