@@ -269,7 +269,7 @@ def test_half_codes_are_equal_where_halves_are(monkeypatch, block):
 
     monkeypatch.setattr(line_dedup, "BLOCK", block)
     rng = np.random.default_rng(4)
-    lines = [rng.integers(1, 4, n, dtype=np.uint64) for n in rng.integers(8, 12, 300)]
+    lines = [line_dedup.mix(rng.integers(1, 4, n, dtype=np.uint64)) for n in rng.integers(8, 12, 300)]
     ends = np.cumsum([len(x) for x in lines])
     codes = line_dedup._half_codes(np.concatenate(lines), ends - [len(x) for x in lines], ends)
     named = {}
