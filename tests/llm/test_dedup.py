@@ -74,6 +74,29 @@ def test_differences_from_hubs_are_moved_in_slices(spark, monkeypatch):
     assert sum(totals) > 600 and max(totals) < sum(totals) * 2 // 3
 
 
+def test_strangers_of_a_hub_do_not_meet_in_all_pairs(spark, monkeypatch):
+    """Members of one group that differ from its hub in the same shingles, and from each other
+    in too many: few pairs are made, and the links among them are found."""
+    pairs = []
+
+    def watched(df, name, stage=ngram_join.stage):
+        held = stage(df, name)
+        if name == "likely" or "rep_a" in df.columns:
+            pairs.append(held.count())
+        return held
+
+    monkeypatch.setattr(ngram_join, "stage", watched)
+    base = [f"w{i}" for i in range(160)]
+    texts = [base] + [base[:60] + [f"x{i}y{k}" for k in range(20)] + base[100:] for i in range(60)]
+    texts += [[f"typo{i}" if k == 70 else w for k, w in enumerate(texts[i])] for i in range(1, 7)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want, links = plain_groups(rows, 5, 80)
+    got = ngram_join.jaccard_groups(docs_of(spark, rows), 5, 80)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    assert links == 6
+    assert pairs and sum(pairs) <= len(rows)
+
+
 def test_long_sets_are_compared_in_segments(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SEGMENT", 16)
     rows = corpus(7, n=30, copies=40, length=(20, 120))
