@@ -5,10 +5,15 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from planes.llm import exact_dedup, line_dedup, ngram_join, substring_dedup
+from planes.llm import blocks, exact_dedup, line_dedup, ngram_join, substring_dedup
 from planes.llm.components import components
+from planes.llm.filters import filter_of_hashes
+from planes.llm.tokens import mix
 from tests.llm.helpers import WORD, corpus, docs_of, union
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -97,6 +102,70 @@ def test_strangers_of_a_hub_do_not_meet_in_all_pairs(spark, monkeypatch):
     assert pairs and sum(pairs) <= len(rows)
 
 
+def test_equal_sets_are_cut_for_one_document(spark, monkeypatch):
+    """However many documents have a set, the fragments of one of them are all that is moved."""
+    ids = set()
+
+    def watched(df, name, stage=ngram_join.stage):
+        held = stage(df, name)
+        if name in ("met", "shared"):
+            ids.update(r[0] for r in held.select("rep" if "rep" in held.columns else "doc_id").collect())
+        return held
+
+    monkeypatch.setattr(ngram_join, "stage", watched)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base if i % 4 else [*base, "end"])) for i in range(1, 61)]
+    got = {r[0]: r[2] for r in ngram_join.jaccard_groups(docs_of(spark, rows).repartition(6), 5, 80).collect()}
+    assert got == dict.fromkeys(range(1, 61), 1)
+    assert ids == {1, 4}
+
+
+def test_differences_of_one_member_alone_are_not_listed(spark):
+    """Of a group's differences those that several members share are moved as rows, in chosen groups alone."""
+    rows = [(1, 10, [5, 6, 7]), (2, 10, [6, 8]), (3, 10, [7, 6]), (4, 20, [5, 6]), (5, 20, [5]), (6, 30, [1, 2]), (7, 30, [1, 2]), (8, 10, [])]
+    compared = spark.createDataFrame(rows, "pair long, group long, differ array<long>").withColumn("group", F.xxhash64("group")).repartition(3)
+    chosen = filter_of_hashes(compared.where("pair in (1, 4)").select(F.col("group").alias("code")))
+    got = defaultdict(set)
+    for code, pair, members in ngram_join.shared_differences(compared, chosen, 12).collect():
+        got[code, members].add(pair)
+    assert sorted((members, sorted(pairs)) for (_, members), pairs in got.items()) == [(2, [1, 3]), (2, [4, 5]), (3, [1, 2, 3])]
+
+
+@pytest.mark.parametrize("cut,held", [(1, 1), (40, 7), (1 << 20, 1 << 19)])
+def test_codes_met_in_blocks_equal_plain(monkeypatch, cut, held):
+    """Codes of several ids, wherever blocks and batches end, with hot codes and ids of all sizes."""
+    monkeypatch.setattr(blocks, "CUT", cut)
+    monkeypatch.setattr(blocks, "SORTED", held)
+    rng = random.Random(cut)
+    ids = [0, -1, 2**63 - 1, -(2**63), 2**32, *(rng.getrandbits(40) for _ in range(30))]
+    codes = [rng.getrandbits(64) for _ in range(200)]
+    rows = [(rng.choice(codes) if rng.random() < 0.8 else codes[0], rng.choice(ids)) for _ in range(600)] + [(rng.getrandbits(64), 7) for _ in range(300)] * 2
+    parts = [tuple(np.array(x, kind) for x, kind in zip(zip(*rows[a : a + 50]), (np.uint64, np.int64))) for a in range(0, len(rows), 50)]
+    cuts = pa.Table.from_batches([*blocks._cut(parts[:9], 8), *blocks._cut(parts[9:], 8)]).sort_by("bucket")
+    got = [r for b in blocks._met(cuts.to_batches(max_chunksize=5), 8) for r in zip(*(c.to_pylist() for c in b.columns))]
+    plain = defaultdict(set)
+    for code, i in rows:
+        plain[code - (code >> 63 << 64)].add(i)
+    assert sorted(got) == sorted((code, i, len(x)) for code, x in plain.items() if len(x) > 1 for i in x)
+
+
+def test_codes_met_by_spark_equal_plain(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(400), rng.randrange(50)) for _ in range(900)]
+    df = spark.createDataFrame(rows, "code long, id long").repartition(5)
+
+    def parts(batches):
+        for b in batches:
+            yield mix(b.column("code").to_numpy().view(np.uint64)), b.column("id").to_numpy()
+
+    plain = defaultdict(set)
+    for code, i in rows:
+        plain[int(mix(np.array([code], np.uint64)).view(np.int64)[0])].add(i)
+    want = sorted((code, i, len(x)) for code, x in plain.items() if len(x) > 1 for i in x)
+    assert sorted(tuple(r) for r in blocks.met_codes(df, parts, 900).collect()) == want
+    assert blocks.met_codes(df.where("id < 0"), parts, 0).count() == 0
+
+
 def test_long_sets_are_compared_in_segments(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SEGMENT", 16)
     rows = corpus(7, n=30, copies=40, length=(20, 120))
