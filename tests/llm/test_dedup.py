@@ -102,7 +102,8 @@ def test_strangers_of_a_hub_do_not_meet_in_all_pairs(spark, monkeypatch):
     assert pairs and sum(pairs) <= len(rows)
 
 
-def test_equal_sets_are_cut_for_one_document(spark, monkeypatch):
+@pytest.mark.parametrize("n,percent", [(5, 80), (3, 90)])
+def test_equal_sets_are_cut_for_one_document(spark, monkeypatch, n, percent):
     """However many documents have a set, the fragments of one of them are all that is moved."""
     ids = set()
 
@@ -115,7 +116,7 @@ def test_equal_sets_are_cut_for_one_document(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "stage", watched)
     base = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(base if i % 4 else [*base, "end"])) for i in range(1, 61)]
-    got = {r[0]: r[2] for r in ngram_join.jaccard_groups(docs_of(spark, rows).repartition(6), 5, 80).collect()}
+    got = {r[0]: r[2] for r in ngram_join.jaccard_groups(docs_of(spark, rows).repartition(6), n, percent).collect()}
     assert got == dict.fromkeys(range(1, 61), 1)
     assert ids == {1, 4}
 
